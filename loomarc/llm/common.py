@@ -61,6 +61,12 @@ def with_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Mark a table of a few numbers a row, already staged, for broadcast if
+    its rows are at most ``BROADCAST_ROWS``; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def without(df: DataFrame, key: str, drop: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``key`` is not in the one-column table ``drop``.
 
@@ -69,5 +75,4 @@ def without(df: DataFrame, key: str, drop: DataFrame) -> DataFrame:
     a null key stay unless ``drop`` holds a null.
     """
     keys = staged(drop.select(F.col(drop.columns[0]).alias("_drop")).distinct(), "drop")
-    side = F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
-    return df.join(side, F.col(key).eqNullSafe(F.col("_drop")), "left_anti")
+    return df.join(broadcast_if_small(keys), F.col(key).eqNullSafe(F.col("_drop")), "left_anti")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext
-from .common import staged
+from .common import broadcast_if_small, staged
 from .components import components
 
 
@@ -51,7 +51,7 @@ class JaccardJoin:
     n: int = 5
     over: int = 75
     under: int = 100
-    cells: int = 1 << 20
+    cells: int = 1 << 18
     frequent: int = 1000
     class_tokens: int = 4
 
@@ -259,8 +259,8 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _wanted_sets(join: JaccardJoin, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(set_id, tokens) of the sets asked for, computed again from the texts.
 
-    A filter of fixed size spares the shuffle most other sets; the join after
-    it is exact.
+    A filter of fixed size leaves out most other sets; a set may come once
+    from each task that has it.
     """
     spark = docs.sparkSession
     packed = np.zeros(_FILTER_BITS // 8, np.uint8)
@@ -288,27 +288,50 @@ def _wanted_sets(join: JaccardJoin, docs: DataFrame, ids: DataFrame) -> DataFram
                     ["set_id", "tokens"],
                 )
 
-    found = docs.select("text").mapInArrow(run, "set_id long, tokens binary")
-    return found.join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.first("tokens").alias("tokens"))
+    return docs.select("text").mapInArrow(run, "set_id long, tokens binary")
+
+
+#: Members that are verified against one copy of their hub.
+_MEMBERS = 1000
 
 
 def _verified(join: JaccardJoin, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
+    """The pairs (a, b) whose sets reach the threshold.
+
+    The members b of a hub a are brought to it; a hub with many members is
+    copied to as many places, so no place holds more than a bounded number.
+    Both sides are sorted, and pass one after another.
+    """
+    pairs = staged(pairs.select("a", "b"), "pairs")
+    places = pairs.groupBy("a").agg(F.ceil(F.count("*") / _MEMBERS).cast("int").alias("places"))
+    places = staged(places, "hubs")
+    dealt = broadcast_if_small(
+        staged(pairs.join(places, "a").select("a", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("at"), "b"), "dealt")
+    )
+    hubs = broadcast_if_small(staged(places.select("a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("at")), "hubs"))
+    members = sets.join(dealt, sets["set_id"] == dealt["b"]).select("a", "at", "b", "tokens")
+    heads = sets.join(hubs, sets["set_id"] == hubs["a"]).select("a", "at", F.lit(None).cast("long").alias("b"), "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, x = None, None
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
+            left, right = [], []
+            rows = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("tokens"), strict=True)
+            for a, b, tokens in rows:
+                y = np.frombuffer(tokens.as_buffer(), np.uint64)
+                if b is None:
+                    hub, x = a, y.copy()
+                    continue
+                assert hub == a, "a member came without its hub"
                 z = np.sort(np.concatenate([x, y]), kind="stable")
                 shared = int((z[1:] == z[:-1]).sum())
-                keep.append(join.under * shared >= join.over * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if join.under * shared >= join.over * (len(x) + len(y) - shared):
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("left")), "a").join(
-        sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("right")), "b"
-    )
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    together = members.union(heads).repartition("a", "at").sortWithinPartitions("a", "at", F.col("b").asc_nulls_first())
+    return together.select("a", "b", "tokens").mapInArrow(run, "a long, b long").distinct()
 
 
 def _possible(join: JaccardJoin):
@@ -349,11 +372,14 @@ def similar_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
         .drop("after")
     )
     rows = staged(rows, "buckets")
-    ids = staged(rows.select("set_id").distinct(), "wanted")
-    sets = staged(_wanted_sets(join, docs, ids), "sets")
-    pairs = rows.where("rank > 1").where(_possible(join)).select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
-    links = staged(_verified(join, pairs, sets), "links")
-    roots = components(links)
+    sets = staged(_wanted_sets(join, docs, rows.select("set_id").distinct()), "sets")
+    pairs = (
+        rows.where("rank > 1")
+        .where(_possible(join))
+        .groupBy(F.col("hub").alias("a"), F.col("set_id").alias("b"))
+        .agg(F.count("*").alias("n"))
+    )
+    links, roots = _resolved(join, pairs, sets, None, None)
     hubs, rows = 1, rows.select("sig", "set_id", "size", "place", "rank")
     while True:
         rows = (
@@ -373,17 +399,41 @@ def similar_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
             rows.join(hub, "sig")
             .where("rank > hub_rank and root <> hub_root")
             .where(_possible(join))
-            .select(F.col("hub_set_id").alias("a"), F.col("set_id").alias("b"))
-            .distinct()
+            .groupBy(F.col("hub_set_id").alias("a"), F.col("set_id").alias("b"))
+            .agg(F.count("*").alias("n"))
         )
-        more = staged(_verified(join, pairs, sets), "links")
+        links, roots = _resolved(join, pairs, sets, links, roots)
         rows = rows.drop("root")
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links)
     return survey.where("part = 0").select("doc_id", "n_shingles", "set_id"), roots
 
 
+def _resolved(join: JaccardJoin, pairs: DataFrame, sets: DataFrame, links: DataFrame | None, roots: DataFrame | None):
+    """Links and components after every pair (a, b, n) is verified or lies in
+    one component.  Each b is first compared with the hub it shares most
+    signatures with; what that leaves open goes on, four times as many hubs
+    at a time."""
+    pairs, most = staged(pairs, "open"), 1
+    best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    while not pairs.isEmpty():
+        pairs = pairs.withColumn("nth", F.row_number().over(best))
+        more = staged(_verified(join, pairs.where(F.col("nth") <= most), sets), "links")
+        links = more if links is None else links.union(more)
+        roots = components(links)
+        of = roots.select(F.col("node"), F.col("root"))
+        pairs = (
+            pairs.where(F.col("nth") > most)
+            .select("a", "b", "n")
+            .join(of.toDF("a", "root_a"), "a", "left")
+            .join(of.toDF("b", "root_b"), "b", "left")
+            .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+            .select("a", "b", "n")
+        )
+        pairs, most = staged(pairs, "open"), most * 4
+    if links is None:
+        links = pairs.select("a", "b")
+    return links, components(links) if roots is None else roots
+
+
 def near_duplicate_groups(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> DataFrame:
     """doc_id, n_shingles, component_id of (doc_id, text) rows.
 
