@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,19 @@ def with_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most for the jobs run inside, where
+    rows are wide; the session's own setting is put back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Mark a table of a few numbers a row, already staged, for broadcast if
     its rows are at most ``BROADCAST_ROWS``; else it is joined by a shuffle."""

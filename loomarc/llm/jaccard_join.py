@@ -17,7 +17,7 @@ classes of its own group and of the next.  Candidates are verified exactly.
 
 Buckets are never expanded into all pairs.  In each round a few hubs of a
 bucket are compared with its other members, sets already known to be in one
-component are not compared, and the number of hubs grows fourfold by round
+component are not compared, and the number of hubs grows eightfold by round
 until every bucket lies in one component or has no pair left to compare.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext
-from .common import broadcast_if_small, staged
+from .common import batch_rows, broadcast_if_small, staged
 from .components import components
 
 
@@ -351,9 +351,10 @@ def similar_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = staged(
-        docs.mapInArrow(_survey(join), "part int, doc_id long, n_shingles long, set_id long, counts binary"), "survey"
-    )
+    with batch_rows(spark, 1024):
+        survey = staged(
+            docs.mapInArrow(_survey(join), "part int, doc_id long, n_shingles long, set_id long, counts binary"), "survey"
+        )
     levels = spark.sparkContext.broadcast(_levels(join, survey))
     in_bucket = Window.partitionBy("sig").orderBy("set_id")
     so_far = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -371,8 +372,10 @@ def similar_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
         .where("rank > 1 or after is not null")
         .drop("after")
     )
-    rows = staged(rows, "buckets")
-    sets = staged(_wanted_sets(join, docs, rows.select("set_id").distinct()), "sets")
+    with batch_rows(spark, 1024):
+        rows = staged(rows, "buckets")
+    with batch_rows(spark, 1024):
+        sets = staged(_wanted_sets(join, docs, rows.select("set_id").distinct()), "sets")
     pairs = (
         rows.where("rank > 1")
         .where(_possible(join))
@@ -391,7 +394,7 @@ def similar_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
         rows = staged(rows.join(open_, "sig", "left_semi").withColumn("rank", F.row_number().over(in_bucket)), "buckets")
         if rows.isEmpty():
             break
-        hubs *= 4
+        hubs *= 8
         hub = rows.where(F.col("rank") <= hubs).select(
             "sig", *[F.col(c).alias(f"hub_{c}") for c in ("set_id", "size", "place", "root", "rank")]
         )
@@ -409,29 +412,24 @@ def similar_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
 
 def _resolved(join: JaccardJoin, pairs: DataFrame, sets: DataFrame, links: DataFrame | None, roots: DataFrame | None):
     """Links and components after every pair (a, b, n) is verified or lies in
-    one component.  Each b is first compared with the hub it shares most
-    signatures with; what that leaves open goes on, four times as many hubs
-    at a time."""
-    pairs, most = staged(pairs, "open"), 1
-    best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
-    while not pairs.isEmpty():
-        pairs = pairs.withColumn("nth", F.row_number().over(best))
-        more = staged(_verified(join, pairs.where(F.col("nth") <= most), sets), "links")
-        links = more if links is None else links.union(more)
-        roots = components(links)
-        of = roots.select(F.col("node"), F.col("root"))
-        pairs = (
-            pairs.where(F.col("nth") > most)
-            .select("a", "b", "n")
-            .join(of.toDF("a", "root_a"), "a", "left")
-            .join(of.toDF("b", "root_b"), "b", "left")
-            .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-            .select("a", "b", "n")
-        )
-        pairs, most = staged(pairs, "open"), most * 4
-    if links is None:
-        links = pairs.select("a", "b")
-    return links, components(links) if roots is None else roots
+    one component.  At first each b is compared with the hub it shares most
+    signatures with; then whatever that leaves open is."""
+    pairs = staged(pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))), "open")
+    for some in ("nth = 1", "nth > 1") if links is None else ("true",):
+        open_ = pairs.where(some)
+        if roots is not None:
+            of = roots.select("node", "root")
+            open_ = (
+                open_.join(of.toDF("a", "root_a"), "a", "left")
+                .join(of.toDF("b", "root_b"), "b", "left")
+                .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+            )
+        with batch_rows(pairs.sparkSession, 256):
+            more = staged(_verified(join, open_, sets), "links")
+        if roots is None or not more.isEmpty():
+            links = more if links is None else links.union(more)
+            roots = components(links)
+    return links, roots
 
 
 def near_duplicate_groups(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> DataFrame:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import batch_rows, broadcast_if_small, staged
+
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 16
 
@@ -276,12 +278,9 @@ def write_token_files(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(order).alias("_order")
     )
     dealt = wanted.repartitionByRange(shards, "_order") if shards else wanted.repartitionByRange("_order")
-    (
-        dealt.sortWithinPartitions("_order", "text")
-        .select("doc_id", "text")
-        .mapInArrow(_blocks(tokenizer, end_id, block_ids), BLOCKS)
-        .write.parquet(out)
-    )
+    ordered = dealt.sortWithinPartitions("_order", "text").select("doc_id", "text")
+    with batch_rows(docs.sparkSession, 1024):
+        ordered.mapInArrow(_blocks(tokenizer, end_id, block_ids), BLOCKS).write.parquet(out)
 
 
 def read_blocks(spark, path: str) -> DataFrame:
@@ -289,8 +288,8 @@ def read_blocks(spark, path: str) -> DataFrame:
     blocks = spark.read.schema(BLOCKS).parquet(path)
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("ids"))  # a row for each shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    return blocks.join(bases, "shard").withColumn("start", (F.col("base") + F.col("first")).cast("long"))
+    bases = staged(shards.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base")), "shards")
+    return blocks.join(broadcast_if_small(bases), "shard").withColumn("start", (F.col("base") + F.col("first")).cast("long"))
 
 
 def read_documents(spark, path: str) -> DataFrame:
