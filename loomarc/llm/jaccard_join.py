@@ -51,7 +51,7 @@ class JaccardJoin:
     n: int = 5
     over: int = 75
     under: int = 100
-    cells: int = 1 << 18
+    cells: int = 1 << 22
     frequent: int = 1000
     class_tokens: int = 4
 
@@ -102,6 +102,7 @@ def _survey(join: JaccardJoin):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(join.cells, np.int64)
         mask = np.uint64(join.cells - 1)
+        held: list[np.ndarray] = []
         for batch in batches:
             sizes, ids = [], []
             for _, _, raw, offs in bytetext.slices(batch.column("text")):
@@ -110,8 +111,10 @@ def _survey(join: JaccardJoin):
                     sizes.append(len(tokens))
                     ids.append(_set_id(tokens) if len(tokens) else None)
                     per_slice.append(tokens)
-                cells = np.concatenate(per_slice) & mask
-                counts += np.bincount(cells.astype(np.int64), minlength=join.cells)
+                held.append((np.concatenate(per_slice) & mask).astype(np.int32))
+                if len(held) == 16:
+                    counts += np.bincount(np.concatenate(held), minlength=join.cells)
+                    held = []
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.zeros(len(sizes), np.int32)),
@@ -122,6 +125,8 @@ def _survey(join: JaccardJoin):
                 ],
                 ["part", "doc_id", "n_shingles", "set_id", "counts"],
             )
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=join.cells)
         for block in range(0, join.cells, _CELL_BLOCK):
             piece = counts[block : block + _CELL_BLOCK]
             if piece.any():
@@ -131,7 +136,7 @@ def _survey(join: JaccardJoin):
                         pa.array([block], pa.int64()),
                         pa.nulls(1, pa.int64()),
                         pa.nulls(1, pa.int64()),
-                        pa.array([piece.astype("<i4" if piece.max() < 2**31 else "<i8").tobytes()], pa.binary()),
+                        pa.array([piece.astype(np.min_scalar_type(int(piece.max()))).tobytes()], pa.binary()),
                     ],
                     ["part", "doc_id", "n_shingles", "set_id", "counts"],
                 )
@@ -144,7 +149,7 @@ def _merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column("doc_id").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            got = np.frombuffer(counts, "<i4" if len(counts) == 4 * _CELL_BLOCK else "<i8").astype(np.int64)
+            got = np.frombuffer(counts, f"<u{len(counts) // _CELL_BLOCK}").astype(np.int64)
             sums[block] = sums[block] + got if block in sums else got
     if sums:
         yield pa.RecordBatch.from_arrays(
@@ -256,7 +261,15 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
 
-def _wanted_sets(join: JaccardJoin, docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """One bit for each token, in a power of two of at least twice as many."""
+    size = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _wanted_sets(join: JaccardJoin, docs: DataFrame, ids: DataFrame, form=np.ndarray.tobytes) -> DataFrame:
     """(set_id, tokens) of the sets asked for, computed again from the texts.
 
     A filter of fixed size leaves out most other sets; a set may come once
@@ -284,13 +297,38 @@ def _wanted_sets(join: JaccardJoin, docs: DataFrame, ids: DataFrame) -> DataFram
                 keep = list({own[i]: i for i in keep}.values())
                 seen.update(own[i] for i in keep)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([own[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
+                    [pa.array([own[i] for i in keep], pa.int64()), pa.array([form(sets[i]) for i in keep], pa.binary())],
                     ["set_id", "tokens"],
                 )
 
     return docs.select("text").mapInArrow(run, "set_id long, tokens binary")
 
 
+def _bounded(join: JaccardJoin, pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs (a, b, n) whose bitmaps permit the threshold.
+
+    A bit of one set that the other lacks proves a token that it lacks, so the
+    bound never drops a similar pair; a larger map folds to a smaller one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            columns = (batch.column(c) for c in ("left", "right"))
+            for left, right, na, nb in zip(*columns, batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True):
+                x, y = (np.frombuffer(m.as_buffer(), np.uint8) for m in (left, right))
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] | x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] | y[len(y) // 2 :]
+                lacks = (int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum()))
+                keep.append((join.over + join.under) * min(na - lacks[0], nb - lacks[1]) >= join.over * (na + nb))
+            yield batch.select(["a", "b", "n"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(maps.toDF("a", "left", "na"), "a").join(maps.toDF("b", "right", "nb"), "b")
+    return both.select("a", "b", "n", "left", "right", "na", "nb").mapInArrow(run, "a long, b long, n long")
+
+
 #: Members that are verified against one copy of their hub.
 _MEMBERS = 1000
 
@@ -374,15 +412,17 @@ def similar_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
     )
     with batch_rows(spark, 1024):
         rows = staged(rows, "buckets")
+    sized = rows.select("set_id", "size").distinct()
     with batch_rows(spark, 1024):
-        sets = staged(_wanted_sets(join, docs, rows.select("set_id").distinct()), "sets")
+        found = _wanted_sets(join, docs, sized.select("set_id"), _bitmap)
+        maps = staged(found.dropDuplicates(["set_id"]).join(sized, "set_id"), "bitmaps")
     pairs = (
         rows.where("rank > 1")
         .where(_possible(join))
         .groupBy(F.col("hub").alias("a"), F.col("set_id").alias("b"))
         .agg(F.count("*").alias("n"))
     )
-    links, roots = _resolved(join, pairs, sets, None, None)
+    links, roots = _resolved(join, docs, pairs, maps, None, None)
     hubs, rows = 1, rows.select("sig", "set_id", "size", "place", "rank")
     while True:
         rows = (
@@ -405,16 +445,22 @@ def similar_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
             .groupBy(F.col("hub_set_id").alias("a"), F.col("set_id").alias("b"))
             .agg(F.count("*").alias("n"))
         )
-        links, roots = _resolved(join, pairs, sets, links, roots)
+        links, roots = _resolved(join, docs, pairs, maps, links, roots)
         rows = rows.drop("root")
     return survey.where("part = 0").select("doc_id", "n_shingles", "set_id"), roots
 
 
-def _resolved(join: JaccardJoin, pairs: DataFrame, sets: DataFrame, links: DataFrame | None, roots: DataFrame | None):
-    """Links and components after every pair (a, b, n) is verified or lies in
-    one component.  At first each b is compared with the hub it shares most
-    signatures with; then whatever that leaves open is."""
+def _resolved(join: JaccardJoin, docs: DataFrame, pairs: DataFrame, maps: DataFrame, links: DataFrame | None, roots: DataFrame | None):
+    """Links and components after every pair (a, b, n) is ruled out, verified
+    or in one component.  At first each b is compared with the hub it shares
+    most signatures with; then whatever that leaves open is."""
+    pairs = staged(_bounded(join, pairs, maps), "bounded")
+    if pairs.isEmpty() and links is not None:
+        return links, roots
     pairs = staged(pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))), "open")
+    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    with batch_rows(docs.sparkSession, 1024):
+        sets = staged(_wanted_sets(join, docs, ids), "sets")
     for some in ("nth = 1", "nth > 1") if links is None else ("true",):
         open_ = pairs.where(some)
         if roots is not None:
@@ -424,7 +470,7 @@ def _resolved(join: JaccardJoin, pairs: DataFrame, sets: DataFrame, links: DataF
                 .join(of.toDF("b", "root_b"), "b", "left")
                 .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
             )
-        with batch_rows(pairs.sparkSession, 256):
+        with batch_rows(docs.sparkSession, 256):
             more = staged(_verified(join, open_, sets), "links")
         if roots is None or not more.isEmpty():
             links = more if links is None else links.union(more)
