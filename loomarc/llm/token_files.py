@@ -102,6 +102,8 @@ class Encoder:
     """
 
     KEPT = 1_500_000
+    #: Marks that often end a word.
+    MARKS = ".,;:!?"
     #: White space of Unicode (fixed values).
     WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -170,28 +172,44 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode pieces: \\0 marks a special string, \\1 a piece as it is;
-        others follow a space unless they begin a line."""
-        plain = []
+        others follow a space unless they begin a line.  Marks that end a
+        piece after a letter or digit are a pre-token of their own, so its
+        ids are those of the piece without them and theirs."""
+        plain, ended = {}, []
         for p in new:
             if p[:1] == "\0":
                 self.kept[p] = np.uint32(self.special[p[1:]]).tobytes()
             elif p[:1] == "\1" or p in ("", "\n"):
-                text = p[1:] if p[:1] == "\1" else p or " "
-                self.kept[p] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+                self._as_it_is(p, p[1:] if p[:1] == "\1" else p or " ")
             else:
-                plain.append(p)
+                stem = p.rstrip(self.MARKS)
+                if len(stem) < len(p) and stem and stem[-1] < "\u0250" and stem[-1].isalnum():
+                    ended.append((p, stem))
+                    if stem not in self.kept:
+                        plain[stem] = None
+                else:
+                    plain[p] = None
         # A line end before a space or a word is a token of its own, so one
         # text of many lines gives the ids of many pieces.
         line = np.array(self.library.encode("\n", add_special_tokens=False).ids, np.uint32)
-        for k in range(0, len(plain), 2000):
-            some = plain[k : k + 2000]
-            text = "".join(p if p[0] == "\n" else f"\n {p}" for p in some)
+        plain = list(plain)
+        for k in range(0, len(plain), 500):
+            some = plain[k : k + 500]
+            text = "".join([p if p[0] == "\n" else f"\n {p}" for p in some])
             ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(ids == line[0])
             if len(line) != 1 or len(cuts) != len(some):
                 raise ValueError("the tokenizer does not keep line ends apart")
-            for p, a, b in zip(some, cuts, np.append(cuts[1:], len(ids)), strict=True):
-                self.kept[p] = ids[a if p[0] == "\n" else a + 1 : b].tobytes()
+            raw, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            for p, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
+                self.kept[p] = raw[a if p[0] == "\n" else a + 4 : b]
+        for p, stem in ended:
+            marks = p[len(stem) :]
+            self.kept[p] = self.kept[stem] + (self.kept.get(f"\1{marks}") or self._as_it_is(f"\1{marks}", marks))
+
+    def _as_it_is(self, piece: str, text: str) -> bytes:
+        self.kept[piece] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return self.kept[piece]
 
 
 #: Texts encoded together.
