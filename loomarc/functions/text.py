@@ -98,3 +98,89 @@ def byte_size(text: Column) -> Column:
     power = F.when(unit == "k", 1).when(unit == "m", 2).when(unit == "g", 3).when(unit == "t", 4).otherwise(0)
     number = F.regexp_extract(text, shape, 1).try_cast("decimal(18,6)")
     return F.when(text.rlike(shape), F.round(number * F.pow(base, power).cast("decimal(13,0)"), 0).cast("long"))
+
+
+#: Characters that XML reserves (fixed values).
+XML = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
+
+
+def escaped(text: Column) -> Column:
+    for raw, name in XML:
+        text = F.replace(text, F.lit(raw), F.lit(name))
+    return text
+
+
+def identity_key(text: Column) -> Column:
+    """Letters and digits alone, lower-cased; null without any."""
+    return F.nullif(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")), F.lit(""))
+
+
+def picture_text(text: Column, most: int = 300) -> Column:
+    return F.nullif(F.substring(collapsed(text), 1, most), F.lit(""))
+
+
+def language_tag(tag: Column) -> Column:
+    """A well-formed language tag with its usual casing, else null."""
+    parts = F.split(F.lower(F.trim(tag)), "[-_]")
+    cased = F.transform(
+        parts,
+        lambda p, i: F.when(i == 0, p).when((F.length(p) == 4) & p.rlike("^[a-z]+$"), F.initcap(p)).when(F.length(p) == 2, F.upper(p)).otherwise(p),
+    )
+    return F.when(F.trim(tag).rlike("^[A-Za-z]{2,8}([-_][A-Za-z0-9]{1,8})*$"), F.array_join(cased, "-"))
+
+
+#: Elements that go with all they hold, and those that go as tags (fixed values).
+ACTIVE = ("script", "style", "svg", "iframe", "object")
+ACTIVE_TAGS = ("embed", *ACTIVE)
+ACTIVE_PATTERNS = (
+    "(?is)<!--.*?-->",
+    *(rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>" for name in ACTIVE),
+    rf"(?is)</?(?:{'|'.join(ACTIVE_TAGS)})\b[^>]*>",
+)
+ACTIVE_ATTRIBUTES = (
+    r"""(?is)\s+on[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""",
+    r"""(?is)\s+(?:href|src|action)\s*=\s*("\s*(?:javascript|data):[^"]*"|'\s*(?:javascript|data):[^']*'|(?:javascript|data):[^\s>]+)""",
+)
+
+
+def without_active(html: Column) -> Column:
+    """HTML without scripts, embedded documents, comments, event attributes,
+    and links that run code; attributes end at the tag's first ``>``."""
+    for pattern in ACTIVE_PATTERNS:
+        html = F.regexp_replace(html, pattern, "")
+    pieces = F.split(html, "<")
+
+    def clean(piece: Column) -> Column:
+        tag, rest = F.regexp_extract(piece, "(?s)^[^>]*", 0), F.regexp_extract(piece, "(?s)^[^>]*(.*)$", 1)
+        for pattern in ACTIVE_ATTRIBUTES:
+            tag = F.regexp_replace(tag, pattern, "")
+        return F.concat(tag, rest)
+
+    return F.array_join(F.concat(F.slice(pieces, 1, 1), F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), clean)), "<")
+
+
+def chapters(text: Column) -> Column:
+    """(at, label) of the lines that begin with a clock time, in order."""
+    lines = F.filter(F.split(text, r"\r?\n"), lambda s: s.rlike(r"^\s*\(?\d{1,2}(:[0-5]\d){1,2}\)?\s+\S"))
+    clock = lambda s: F.regexp_extract(s, r"(\d{1,2}(?::[0-5]\d){1,2})", 1)
+    label = lambda s: F.trim(F.regexp_replace(s, r"^\s*\(?[\d:]+\)?\s+[-–—:]?\s*", ""))
+    return F.transform(lines, lambda s: F.struct(clock(s).alias("at"), label(s).alias("label")))
+
+
+def without_counter(text: Column) -> Column:
+    """Text without a thread's ``(1/3)``, ``[1/3]`` or ``1/3`` at its end."""
+    return F.regexp_replace(text, r"\s*(?:\(\d{1,3}/\d{1,3}\)|\[\d{1,3}/\d{1,3}\]|(?<=\s)\d{1,3}/\d{1,3})\s*$", "")
+
+
+def first_spellings(names: Column) -> Column:
+    """Names in order, each once whatever its case, as first spelt."""
+    key = lambda n: F.lower(F.trim(n))
+    return F.filter(names, lambda n, i: (F.trim(n) != "") & (F.array_position(F.transform(names, key), key(n)) == i + 1))
+
+
+def best_picture(srcset: Column) -> Column:
+    """URL of the largest ``w``, ``x`` or ``h`` of a source set; the last of equals."""
+    found = F.regexp_extract_all(srcset, F.lit(r"(?:^|,)\s*(\S*[^\s,](?:\s+[0-9.]+[wxh])?)(?=\s*(?:,|$))"), F.lit(1))
+    score = lambda c: F.coalesce(F.regexp_extract(c, r"\s([0-9.]+)[wxh]$", 1).try_cast("double"), F.lit(1.0))
+    ranked = F.transform(found, lambda c, i: F.struct(score(c).alias("score"), i.alias("at"), F.substring_index(F.trim(c), " ", 1).alias("url")))
+    return F.array_max(ranked)["url"]

@@ -43,3 +43,33 @@ def readmitted(evictions: DataFrame, policy: DataFrame) -> DataFrame:
     """(source, key, first_seen): evicted keys whose source's policy changed."""
     changed = evictions.join(policy.withColumnRenamed("policy", "_now"), "source").where(~F.col("policy").eqNullSafe(F.col("_now")))
     return changed.select("source", F.explode("keys").alias("key"), "first_seen").groupBy("source", "key").agg(F.min("first_seen").alias("first_seen"))
+
+
+def trimmed(files: DataFrame, size: str, used: str, path: str, limit: int, slot: str = "hour") -> DataFrame:
+    """The files to evict, least recently used first, until the rest fits.
+
+    A running total over all files would be one task's work: totals of slots
+    of time are summed up first, then the files within each slot.
+    """
+    at = F.coalesce(F.col(used), F.lit(0).cast("timestamp").cast(files.schema[used].dataType))
+    slotted = files.withColumn("_slot", F.date_trunc(slot, at)).withColumn("_at", at)
+    slots = slotted.groupBy("_slot").agg(F.sum(size).alias("_slot_size"))
+    earlier = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # one row a slot
+    starts = slots.select("_slot", F.coalesce(F.sum("_slot_size").over(earlier), F.lit(0)).alias("_start"))
+    total = slots.agg(F.sum("_slot_size").alias("_total"))
+    within = Window.partitionBy("_slot").orderBy("_at", path).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_start") + F.coalesce(F.sum(size).over(within), F.lit(0))
+    placed = slotted.join(starts.crossJoin(total), "_slot")  # the total is one row
+    return placed.withColumn("_before", before).where(F.col("_total") - F.col("_before") > limit).select(*files.columns)
+
+
+def unique_matches(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both sides with equal keys that each side has only once."""
+    once = lambda rows: rows.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in rows.columns if c not in keys)).where("_n = 1").drop("_n")
+    return once(left).join(once(right), keys)
+
+
+def shared_values(items: DataFrame, name: str, group: Column, values: Column, least: int = 3) -> DataFrame:
+    """(group, value, items) of values that ``least`` items of a group have."""
+    each = items.select(name, group.alias("group"), F.explode(F.array_distinct(values)).alias("value"))
+    return each.groupBy("group", "value").agg(F.count("*").alias("items")).where(F.col("items") >= least)
