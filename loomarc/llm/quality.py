@@ -3,9 +3,9 @@
 Fixed cut-offs misjudge languages with longer words or sources with tables.
 Here every measure's cut-offs come from mergeable quantile sketches (KLL) per
 language and source: partial sketches form where the rows are, so a source
-with a third of all rows costs no more than another.  A group too small for a
-sketch of its own, and every group as a guard, leans on its language and on
-the whole corpus.  The cut-offs are joined back and the rows filtered.
+with a third of all rows costs no more than another.  A group too small for
+cut-offs of its own takes its language's, and a small language the corpus's.
+The cut-offs are joined back and the rows filtered.
 
 Only built-in functions run here.
 """
@@ -26,6 +26,10 @@ SYMBOLS = "#*$%&|<>"
 #: Measures, in the order of their cut-offs.
 MEASURES = ("symbol_share", "dup_line_share", "repeat_share", "word_length")
 
+#: What one incident adds to each measure in a text of one word: a symbol, a
+#: repeated line, a window of five words said twice; word length has no steps.
+INCIDENTS = (1.0, 5.0, 10.0, 0.0)
+
 
 @dataclass(frozen=True)
 class QualityRules:
@@ -33,7 +37,8 @@ class QualityRules:
 
     Adaptive rules: a text fails where a measure lies beyond the group's
     ``upper`` quantile plus ``reach`` times the distance from the median to
-    that quantile, and beyond the floor that every text may have.
+    that quantile.  Where most texts are alike that distance is nothing, so it
+    is at least what one incident makes in the group's median text.
     ``small``: rows from which a group has cut-offs of its own.
     """
 
@@ -42,7 +47,6 @@ class QualityRules:
     upper: float = 0.75
     reach: float = 4.0
     small: int = 200
-    floors: tuple[float, ...] = (0.2, 0.35, 0.2, 12.0)
 
 
 def _words(text: Column) -> Column:
@@ -113,13 +117,14 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def _thresholds(measures: DataFrame, keys: list[str], rules: QualityRules) -> DataFrame:
-    sketches = [F.kll_sketch_agg_double(F.col(m).cast("double"), 200).alias(f"_{m}") for m in MEASURES]
+    sketches = [F.kll_sketch_agg_double(F.col(m).cast("double"), 200).alias(f"_{m}") for m in (*MEASURES, "step")]
     grouped = measures.groupBy(*keys).agg(F.count("*").alias("_rows"), *sketches)
     limits = []
-    for m, floor in zip(MEASURES, rules.floors, strict=True):
+    for m, incident in zip(MEASURES, INCIDENTS, strict=True):
         high = F.kll_sketch_get_quantile_double(f"_{m}", F.lit(rules.upper))
         mid = F.kll_sketch_get_quantile_double(f"_{m}", F.lit(0.5))
-        limits.append(F.greatest(F.lit(floor), high + rules.reach * (high - mid)).alias(f"max_{m}"))
+        least = incident * F.kll_sketch_get_quantile_double("_step", F.lit(0.5))
+        limits.append((high + rules.reach * F.greatest(high - mid, least)).alias(f"max_{m}"))
     return grouped.select(*keys, "_rows", *limits)
 
 
@@ -144,18 +149,20 @@ def quality_decisions(docs: DataFrame, rules: QualityRules = QualityRules()) ->
         }
     )
     counts = staged(counts, "quality")
-    sound = counts.where("not base_failed")
+    sound = counts.where("not base_failed").withColumn("step", 1 / n)
     own = _thresholds(sound, ["lang", "source"], rules).where(F.col("_rows") >= rules.small)
-    language = _thresholds(sound, ["lang"], rules)
+    language = _thresholds(sound, ["lang"], rules).where(F.col("_rows") >= rules.small)
+    corpus = _thresholds(sound, [], rules).select(*[F.col(f"max_{m}").alias(f"all_{m}") for m in MEASURES])
     own = own.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[F.col(f"max_{m}").alias(f"own_{m}") for m in MEASURES])
     language = language.select(F.col("lang").alias("_k"), *[F.col(f"max_{m}").alias(f"lang_{m}") for m in MEASURES])
-    joined = counts.join(own, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").join(
-        language, F.col("lang").eqNullSafe(F.col("_k")), "left"
+    joined = (
+        counts.join(own, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+        .join(language, F.col("lang").eqNullSafe(F.col("_k")), "left")
+        .crossJoin(F.broadcast(corpus))
     )
     passes = F.lit(True)
     for m in MEASURES:
-        # The group decides; its language vouches for what it finds usual.
-        limit = F.greatest(F.coalesce(f"own_{m}", f"lang_{m}"), F.col(f"lang_{m}"))
+        limit = F.coalesce(f"own_{m}", f"lang_{m}", f"all_{m}")
         passes = passes & F.coalesce(F.col(m) <= limit, F.lit(True))
     return joined.select(
         "doc_id",

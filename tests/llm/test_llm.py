@@ -160,6 +160,20 @@ def test_quality(docs, none):
     assert quality.quality_decisions(none).count() == 0
 
 
+def test_quality_follows_each_group(spark):
+    words = [chr(97 + k % 26) + chr(97 + k // 26 % 26) + "xyz"[k % 3] for k in range(100)]
+    says = lambda n: " ".join(words[: 100 - n] + ["#"] * min(n, 4) + ["".join(w) for w in zip("#" * (n - 4), words, strict=False)])
+    rows = [(k, says(0), "en", "prose") for k in range(40)] + [(100 + k, says(10 + k % 3), "en", "tables") for k in range(60)]
+    rows += [(200, says(10), "en", "prose"), (201, says(1), "en", "prose"), (202, says(10), "en", "rare"), (203, says(10), "fr", "rare")]
+    rows += [(204, says(60), "en", "tables"), (205, says(60), "en", "rare"), (206, says(60), "fr", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.quality_decisions(docs, quality.QualityRules(small=20)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    # Ten symbols in a hundred words: beyond prose, though under any fixed cut-off and usual in the language and the corpus.
+    assert got[200].symbol_share <= 0.1 and not got[200].kept
+    assert {k for k, r in got.items() if not r.kept} == {200, 204, 205, 206}
+
+
 def test_licenses(docs, none):
     got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
     at = next(k for k, t, *_ in ROWS if t and "Released" in t)
