@@ -5,11 +5,11 @@ w may not start before slot floor(j / w) and must be served by slot
 ceil((j + 1) / w); serving the eligible block with the earliest deadline in
 each slot keeps every source less than one block from its share at any time.
 
-Weights are whole numbers of slots in a period, so the schedule of one period
-is a small table and the slot of any block follows from it by arithmetic: rows
-are placed in parallel, with no pass over the blocks.  When a source has no
-blocks left, a new phase begins in which the others share its weight; every
-row is placed once and none is dropped.
+Weights are taken exactly, as fractions of their sum.  The schedule is a pass
+over the blocks (not the rows) that holds one block of each source; it writes
+the slot of each block to a table, and rows are placed in parallel by a join
+with it.  When a source has no blocks left, a new phase begins in which the
+others share its weight; every row is placed once and none is dropped.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import groupby, islice
+from math import lcm
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import broadcast_if_small, staged
 
 
 @dataclass(frozen=True)
 class Mixing:
     """weights: of sources (others, and all where it is None, weigh by their
     rows to the power ``flatten``); block: rows of a block; period: slots of
-    the schedule, no fewer than the sources."""
+    the schedule written at a time."""
 
     weights: Mapping[str, float] | None = None
     flatten: float = 0.5
@@ -53,29 +56,53 @@ def quotas(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def schedule(shares: Mapping[str, int]) -> list[str]:
-    """The source served in each slot of a period: earliest deadline first
-    among released blocks.  Shares are whole slots and fill the period."""
-    period = sum(shares.values())
+def served(weights: Mapping[str, float]) -> Iterator[str]:
+    """The source served in each slot, without end: earliest deadline first
+    among released blocks.  Weights are positive."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = lcm(*(w.denominator for w in exact.values()))
+    share = {s: int(w * unit) for s, w in exact.items()}
+    total = sum(share.values())
     released: list[tuple[int, str, int]] = []
-    waiting = [(0, s, 0) for s in sorted(shares)]  # release, source, block
+    waiting = [(0, s, 0) for s in sorted(share)]  # release, source, block
     heapq.heapify(waiting)
-    out = []
-    for slot in range(period):
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(released, (-(-(j + 1) * period // shares[s]), s, j))
+            heapq.heappush(released, (-(-(j + 1) * total // share[s]), s, j))
         _, s, j = heapq.heappop(released)
-        out.append(s)
-        if j + 1 < shares[s]:
-            heapq.heappush(waiting, ((j + 1) * period // shares[s], s, j + 1))
-    return out
+        yield s
+        heapq.heappush(waiting, ((j + 1) * total // share[s], s, j + 1))
+        slot += 1
+
+
+def schedule(shares: Mapping[str, int]) -> list[str]:
+    """The source served in each slot of a period that whole shares fill."""
+    return list(islice(served(shares), sum(shares.values())))
+
+
+def placements(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[int, str, int, int]]:
+    """(phase, source, block, slot) of every block, by slot; a phase ends when
+    a source has no blocks left.  Sources of no weight follow all others."""
+    left = {s for s, n in blocks.items() if n > 0}
+    done = dict.fromkeys(left, 0)
+    phase = slot = 0
+    while left:
+        for s in served({s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1)):
+            yield phase, s, done[s], slot
+            done[s] += 1
+            slot += 1
+            if done[s] == blocks[s]:
+                left.remove(s)
+                break
+        phase += 1
 
 
 @dataclass(frozen=True)
 class Phase:
-    """From block ``first`` of each source on: slot ``base`` plus whole periods
-    plus the place of the block in the period's table."""
+    """From block ``first`` of each source on: slot ``base`` plus the place of
+    the block in the table of the phase, which has ``period`` slots."""
 
     base: int
     first: dict[str, int]
@@ -84,24 +111,16 @@ class Phase:
 
 
 def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int) -> list[Phase]:
-    """Phases of a mixture; each ends when a source has no blocks left."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = {s: 0 for s in left}
-    out, base = [], 0
-    while left:
-        shares = quotas({s: weights[s] for s in left}, period)
-        order = np.array(schedule(shares))
-        table = {s: np.flatnonzero(order == s) for s in left}
-        out.append(Phase(base, {s: done[s] for s in left}, table, period))
-        length = min(((n - 1) // shares[s]) * period + int(table[s][(n - 1) % shares[s]]) + 1 for s, n in left.items())
-        whole, rest = divmod(length, period)
-        for s in list(left):
-            served = whole * shares[s] + int(np.searchsorted(table[s], rest))
-            done[s] += served
-            left[s] -= served
-            if left[s] <= 0:
-                del left[s]
-        base += length
+    """The phases of a small mixture as tables; they do not repeat, so
+    ``period`` has no effect."""
+    out: list[Phase] = []
+    for _, group in groupby(placements(blocks, weights), key=lambda x: x[0]):
+        rows = list(group)
+        base, first, table = rows[0][3], {}, {}
+        for _, s, j, slot in rows:
+            first.setdefault(s, j)
+            table.setdefault(s, []).append(slot - base)
+        out.append(Phase(base, first, {s: np.array(x) for s, x in table.items()}, len(rows)))
     return out
 
 
@@ -143,35 +162,24 @@ def mixed(docs: DataFrame, rule: Mixing = Mixing()) -> DataFrame:
     parts = dealt.groupBy("_source", "_part").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = staged(parts.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0))), "mixing")
-    sizes = {r[0]: r[1] for r in parts.groupBy("_source").agg(F.sum("_rows")).limit(rule.period + 1).collect()}
-    weights = {s: (rule.weights or {}).get(s, float(n) ** rule.flatten) for s, n in sizes.items()}
+    sizes = dict(parts.groupBy("_source").agg(F.sum("_rows")).collect())
+    weights = {s: float((rule.weights or {}).get(s, float(n) ** rule.flatten)) for s, n in sizes.items()}
     blocks = {s: -(-n // rule.block) for s, n in sizes.items()}
-    plan = spark.sparkContext.broadcast(phases(blocks, weights, rule.period))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rank = batch.column("_base").to_numpy() + batch.column("_local").to_numpy()
-            sources = np.array(batch.column("_source").to_pylist(), object)
-            block = rank // rule.block
-            slot = np.zeros(len(rank), np.int64)
-            for s in set(sources):
-                mine = np.flatnonzero(sources == s)
-                for phase in plan.value:
-                    if s in phase.first:
-                        some = mine[block[mine] >= phase.first[s]]
-                        j = block[some] - phase.first[s]
-                        n = len(phase.table[s])
-                        slot[some] = phase.base + (j // n) * phase.period + phase.table[s][j % n]
-            position = slot * rule.block + rank % rule.block
-            yield (
-                batch.append_column("_block", pa.array(block, pa.int64()))
-                .append_column("_slot", pa.array(slot))
-                .append_column("_position", pa.array(position))
-            )
-
-    joined = dealt.join(parts.drop("_rows"), ["_source", "_part"])
-    schema = _with(joined, "_block", "_slot", "_position")
-    return joined.mapInArrow(placed, schema).drop("_source", "_part", "_local", "_base")
+
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            plan = placements(blocks, weights)
+            while some := list(islice(plan, rule.period)):
+                _, source, block, slot = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(block), pa.array(slot)], ["_source", "_block", "_slot"])
+
+    one = spark.range(0, 1, 1, 1)
+    plan = staged(one.mapInArrow(planned, "_source string, _block long, _slot long"), "mixing")
+    rank = F.col("_base") + F.col("_local")
+    placed = dealt.join(parts.drop("_rows"), ["_source", "_part"]).withColumn("_rank", rank)
+    placed = placed.withColumn("_block", F.expr(f"_rank div {rule.block}")).join(broadcast_if_small(plan), ["_source", "_block"])
+    position = F.col("_slot") * rule.block + F.col("_rank") % rule.block
+    return placed.select(*docs.columns, "_block", "_slot", position.alias("_position"))
 
 
 def in_mixed_order(docs: DataFrame, rule: Mixing = Mixing()) -> DataFrame:

@@ -208,6 +208,26 @@ def test_pfair_stays_within_one_block():
     assert sorted(slots) == list(range(89))
 
 
+def test_mixing_follows_the_real_weights():
+    sizes = {f"s{k:02}": 5_500 for k in range(19)} | {"hot": 51_600}
+    weights = {s: n**0.5 for s, n in sizes.items()}
+    total = sum(weights.values())
+    first = mixing.phases(sizes, weights, 1000)[0]
+    for s, w in weights.items():
+        j = np.arange(min(sizes[s], 5_000))
+        slot = j // len(first.table[s]) * first.period + first.table[s][j % len(first.table[s])]
+        # Before slot t there are j blocks of s, and after it j + 1: both within one block of the share.
+        assert (np.abs(j - slot * w / total) < 1).all() and (np.abs(j + 1 - (slot + 1) * w / total) < 1).all(), s
+
+
+def test_mixing_takes_more_sources_than_a_period(spark):
+    docs = spark.createDataFrame([(k, f"s{k % 30}" if k % 30 else None) for k in range(200)], "doc_id long, source string")
+    out = mixing.mixed(docs, mixing.Mixing({"s1": 0.0}, block=2, period=10)).toPandas()
+    assert sorted(out.doc_id) == list(range(200)) and out._position.is_unique
+    assert sorted(set(out._slot)) == list(range(out._slot.max() + 1))
+    assert out._slot[out.source == "s1"].min() > out._slot[out.source != "s1"].max()
+
+
 def test_mixing_keeps_every_row(docs, none):
     out = mixing.mixed(docs, mixing.Mixing(block=4, period=10)).toPandas()
     assert Counter(out.doc_id) == Counter(r[0] for r in ROWS) and out._position.is_unique
