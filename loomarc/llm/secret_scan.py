@@ -4,7 +4,7 @@ Strong finds stand alone: an assignment to a secret's name, an access
 identifier, a long run of hex.  Weak ones say little by themselves: a random-
 looking key, a user name, an address of a service.  They are reported only
 where a complementary part lies within ``reach`` code points of the same
-document, found by an interval join on bins of that width.
+document, found by an interval join that sweeps each document's spans in order.
 
 Built-in functions give matches but not their places; a place follows from
 the lengths of all matches and of the text between them.
@@ -62,10 +62,11 @@ def secret_spans(docs: DataFrame, rule: SecretScan = SecretScan()) -> tuple[Data
         named = named | low.contains(word)
     assigns = named & (text.contains(":") | text.contains("="))
     access, address = text.contains("AKIA"), text.contains("://")
+    users = (text.contains(":") | text.contains("=")) & (low.contains("user") | low.contains("login") | low.contains("account"))
     strong = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 6)
     mixed = F.transform(
         F.regexp_extract_all(text, F.lit(KEY), F.lit(0)),
-        lambda m: (F.length(m) <= 64) & m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]"),
+        lambda m: m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]"),
     )
     found = docs.select(
         F.xxhash64("doc_id", "text").alias("key"),
@@ -77,8 +78,9 @@ def secret_spans(docs: DataFrame, rule: SecretScan = SecretScan()) -> tuple[Data
         F.when(assigns, _lengths(text, ASSIGN, strong)).alias("assign"),
         F.when(access, _lengths(text, ACCESS, _all(text, ACCESS))).alias("access"),
         F.when(text.rlike("[0-9a-f]{24}"), _lengths(text, HEX, _all(text, HEX))).alias("hex"),
-        F.when(access | address, _lengths(text, KEY, mixed)).alias("key_"),
-        F.when(assigns & (low.contains("user") | low.contains("login") | low.contains("account")), _lengths(text, USER, _all(text, USER))).alias("user"),
+        # Keys are linked to access ids and endpoints, and users to keys.
+        F.when(access | address | users, _lengths(text, KEY, mixed)).alias("key_"),
+        F.when(users, _lengths(text, USER, _all(text, USER))).alias("user"),
         F.when(address, _lengths(text, ENDPOINT, _all(text, ENDPOINT))).alias("endpoint"),
     )
     found = staged(found, "secrets")
@@ -98,20 +100,17 @@ def secret_spans(docs: DataFrame, rule: SecretScan = SecretScan()) -> tuple[Data
     )
     spans = staged(spans, "spans")
     strong_spans = spans.where(F.col("kind").isin(*BASE))
-    weak = spans.where(~F.col("kind").isin(*BASE)).withColumn("bin", F.expr(f"start div {rule.reach}"))
-    # The interval join: bins hold the outermost places of each kind, so a weak
-    # span meets at most three rows of a kind, however many spans a bin has.
-    bins = (
-        spans.withColumn("bin", F.expr(f"start div {rule.reach}"))
-        .groupBy("key", "kind", "bin")
-        .agg(F.min("start").alias("low"), F.max("end").alias("high"))
-        .select("key", F.col("kind").alias("other"), F.explode(F.expr("array(bin - 1, bin, bin + 1)")).alias("bin"), "low", "high")
+    # The interval join: a weak span asks, at the last place a part may start,
+    # for the furthest end of the parts that start up to there.
+    others = F.create_map(*[x for k, o in COMPLETES.items() for x in (F.lit(k), F.array(*map(F.lit, o)))])
+    parts = spans.select("key", F.col("kind").alias("other"), F.col("start").alias("at"), F.lit(0).alias("asks"), "kind", "start", "end")
+    asked = spans.where(~F.col("kind").isin(*BASE)).select(
+        "key", F.explode(others[F.col("kind")]).alias("other"), (F.col("end") + rule.reach).alias("at"), F.lit(1).alias("asks"), "kind", "start", "end"
     )
-    pairs = F.lit(False)
-    for kind, others in COMPLETES.items():
-        pairs = pairs | ((F.col("kind") == kind) & F.col("other").isin(*others))
-    near = (F.col("low") - F.col("end") <= rule.reach) & (F.col("start") - F.col("high") <= rule.reach)
-    linked = weak.join(bins, ["key", "bin"]).where(pairs & near).select("key", "kind", "start", "end").distinct()
+    sweep = Window.partitionBy("key", "other").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    met = parts.unionByName(asked).withColumn("furthest", F.max(F.when(F.col("asks") == 0, F.col("end"))).over(sweep))
+    near = (F.col("asks") == 1) & (F.col("start") - F.col("furthest") <= rule.reach)
+    linked = met.where(near).select("key", "kind", "start", "end").distinct()
     # A weak find that a strong one already covers adds nothing.
     cover = strong_spans.select("key", F.col("start").alias("s"), F.col("end").alias("e"))
     linked = linked.join(cover, (linked["key"] == cover["key"]) & (linked["start"] >= cover["s"]) & (linked["end"] <= cover["e"]), "left_anti")

@@ -191,6 +191,44 @@ def test_secrets(docs, none):
     assert secret_scan.secret_scan(none).count() == 0
 
 
+def linked_spans(text, reach=256):
+    """Brute force over all pairs of spans."""
+    found = [("assign", *m.span()) for m in re.finditer(secret_scan.ASSIGN, text) if len(m[2]) >= 6]
+    for kind in ("access", "hex", "key", "user", "endpoint"):
+        for m in re.finditer(getattr(secret_scan, kind.upper()), text):
+            if kind != "key" or all(re.search(x, m[0]) for x in ("[0-9]", "[a-z]", "[A-Z]")):
+                found.append((kind, *m.span()))
+    strong = [x for x in found if x[0] in secret_scan.BASE]
+    out = list(strong)
+    for kind, start, end in found:
+        near = [o for o, s, e in found if o in secret_scan.COMPLETES.get(kind, ()) and s - end <= reach and start - e <= reach]
+        if near and not any(s <= start and end <= e for _, s, e in strong):
+            out.append((kind, start, end))
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(out, key=lambda x: (x[1], secret_scan.KINDS.index(x[0]))))
+
+
+def test_secret_links_of_long_spans(spark):
+    rng = random.Random(3)
+    key = lambda n: "aB3" + "".join(rng.choice("abcXYZ789") for _ in range(n - 3))
+    access = "AKIA" + "Q" * 36
+    pad = lambda n: (" lorem" * (n // 6 + 1))[:n]
+    texts = [
+        pad(254) + " " + access + pad(249) + " https://x.example/a",  # starts two bins apart
+        "token=" + key(600) + " user=bob",
+        "https://x.example/" + "p/" * 400 + " " + key(40),
+        "user: bob " + key(40),  # no name of a secret
+        key(90) + " https://x.example/a",  # a long key
+        "user=bob" + pad(300) + " " + key(40),  # too far
+    ]
+    for _ in range(60):
+        some = ["user=bob", access, key(rng.choice([32, 64, 65, 700])), "ftp://y.example/" + "q" * rng.choice([1, 600]), "password: " + key(20)]
+        texts.append(pad(rng.randrange(300)) + "".join(" " + rng.choice(some) + pad(rng.choice([0, 100, 250, 254, 255, 256, 257, 300])) for _ in range(4)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.secret_scan(docs).collect()}
+    assert got == {k: linked_spans(x) for k, x in enumerate(texts)}
+    assert [len(got[k].split(",")) for k in range(5)] == [2, 2, 2, 1, 2] and got[5] == ""
+
+
 def test_pfair_stays_within_one_block():
     shares = mixing.quotas({"a": 5.0, "b": 3.0, "c": 1.0}, 100)
     order = mixing.schedule(shares)
