@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomarc.llm import decontaminate, jaccard_join, mixing, token_files, toxicity
-from loomarc.llm.common import id_fold, scratch_path, with_table, without
+from loomarc.llm.common import id_fold, scratch_path, staged, with_table, without
 from loomarc.llm.queries import _tokenizer
 from loomarc.session import ship_package
 
@@ -23,10 +23,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
+    """Of each group of near duplicates the row with the smallest id, nulls
+    last, then by text; repeated rows are duplicates as well."""
     ship_package(spark)
-    groups = jaccard_join.near_duplicate_groups(docs)
-    return without(docs, "doc_id", groups.where("component_id <> doc_id").select("doc_id"))
+    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard_join.near_duplicate_groups(keyed.select(F.col("_row").alias("doc_id"), "text"))
+    alike = groups.where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    rank = F.struct(F.isnull("doc_id").alias("_none"), "doc_id", F.xxhash64("text").alias("_text"), "_row")
+    ranked = staged(keyed.select("_row", rank.alias("_rank")).join(alike, "_row"), "ranks")
+    first = ranked.groupBy("component_id").agg(F.min("_rank")["_row"].alias("_first"))
+    drop = ranked.join(first, "component_id").where("_row <> _first").select("_row")
+    return without(keyed, "_row", drop).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

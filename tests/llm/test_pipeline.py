@@ -22,3 +22,14 @@ def test_pipeline(spark):
     final = corpus_pipeline.run(spark, SF).toPandas().sort_values("start")
     assert set(final.doc_id) == ids
     assert (final.start.to_numpy()[1:] == (final.start + final.n_tokens).to_numpy()[:-1]).all()
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    text = {x: " ".join(f"{x}{k}" for k in range(60)) for x in "abcd"}
+    rows = [(1, text["a"]), (1, text["a"]), (2, text["a"] + " more"), (None, text["a"]), (3, text["b"]), (3, text["c"]), (0, text["b"])]
+    rows += [(None, text["d"]), (4, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string").repartition(3)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    want = [(1, text["a"]), (3, text["c"]), (0, text["b"]), (None, text["d"]), (4, None), (5, ""), (5, "")]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in out.collect()])) == sorted(map(str, want))
