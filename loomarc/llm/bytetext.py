@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

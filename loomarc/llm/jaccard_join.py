@@ -13,12 +13,20 @@ The prefix that ends first then keeps a signature within the intersection, and
 the other prefix holds all of that signature's tokens: two similar sets always
 meet, whatever the order.  The number of classes follows the set's size; as
 similar sets lie in one size group or in two adjacent ones, a set uses the
-classes of its own group and of the next.  Candidates are verified exactly.
+classes of its own group and of the next.
 
-Buckets are never expanded into all pairs.  In each round a few hubs of a
-bucket are compared with its other members, sets already known to be in one
-component are not compared, and the number of hubs grows eightfold by round
-until every bucket lies in one component or has no pair left to compare.
+A prefix token is dead if no other set has it in its prefix, or only one that
+can't be similar.  Where two sets meet, neither holds a dead token that the
+other has before that place, so length and position bounds count live tokens
+only.  Buckets with equal members are one bucket.  Then, in two steps:
+
+1. In each bucket the set with the fewest dead tokens is the hub; every set is
+   verified with the hub it meets most often, and links become components.
+2. Pairs in different components that the bounds permit are listed where they
+   first meet (in the smallest of their common signatures, as far as the
+   ``known`` smallest of each tell), bounded by bitmaps, and verified.
+
+Copies of one text thus meet one hub, not one another.
 """
 
 from __future__ import annotations
@@ -45,15 +53,17 @@ class JaccardJoin:
     It counts all n-grams of all texts; its size changes the cost of a run
     and never its result.  From ``frequent`` texts above the mean load of a
     cell on, tokens work in pairs; ``class_tokens`` is the number of prefix
-    tokens a class should hold.
+    tokens a class should hold; ``known`` the number of a set's signatures
+    that tell where a pair meets first.
     """
 
     n: int = 5
     over: int = 75
     under: int = 100
-    cells: int = 1 << 22
+    cells: int = 1 << 24
     frequent: int = 1000
     class_tokens: int = 4
+    known: int = 16
 
     def lost(self, size: int) -> int:
         """Tokens of a set of this size that a partner may lack."""
@@ -94,13 +104,29 @@ def _set_id(tokens: np.ndarray) -> int:
 
 
 _CELL_BLOCK = 1 << 14
+#: Cells counted at a time, and tokens held before they are counted.
+_CELL_PART = 1 << 22
+_HELD = 4_000_000
+
+
+def _add_counts(counts: np.ndarray, cells: np.ndarray) -> None:
+    """Add one to the counters named, up to the largest that they hold."""
+    most = np.iinfo(counts.dtype).max
+    for a in range(0, len(counts), _CELL_PART):
+        part = counts[a : a + _CELL_PART]
+        mine = cells[(cells >= a) & (cells < a + _CELL_PART)] - a
+        if len(mine) > _CELL_PART // 64:
+            part[:] = np.minimum(part + np.bincount(mine, minlength=len(part)), most)
+        elif len(mine):
+            at, n = np.unique(mine, return_counts=True)
+            part[at] = np.minimum(part[at] + n, most)
 
 
 def _survey(join: JaccardJoin):
     """Per text its set's size and id; per task the counts of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(join.cells, np.int64)
+        counts = np.zeros(join.cells, np.uint16)
         mask = np.uint64(join.cells - 1)
         held: list[np.ndarray] = []
         for batch in batches:
@@ -112,8 +138,8 @@ def _survey(join: JaccardJoin):
                     ids.append(_set_id(tokens) if len(tokens) else None)
                     per_slice.append(tokens)
                 held.append((np.concatenate(per_slice) & mask).astype(np.int32))
-                if len(held) == 16:
-                    counts += np.bincount(np.concatenate(held), minlength=join.cells)
+                if sum(map(len, held)) >= _HELD:
+                    _add_counts(counts, np.concatenate(held))
                     held = []
             yield pa.RecordBatch.from_arrays(
                 [
@@ -126,52 +152,58 @@ def _survey(join: JaccardJoin):
                 ["part", "doc_id", "n_shingles", "set_id", "counts"],
             )
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=join.cells)
-        for block in range(0, join.cells, _CELL_BLOCK):
-            piece = counts[block : block + _CELL_BLOCK]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([1], pa.int32()),
-                        pa.array([block], pa.int64()),
-                        pa.nulls(1, pa.int64()),
-                        pa.nulls(1, pa.int64()),
-                        pa.array([piece.astype(np.min_scalar_type(int(piece.max()))).tobytes()], pa.binary()),
-                    ],
-                    ["part", "doc_id", "n_shingles", "set_id", "counts"],
-                )
+            _add_counts(counts, np.concatenate(held))
+        blocks = [b for b in range(0, join.cells, _CELL_BLOCK) if counts[b : b + _CELL_BLOCK].any()]
+        for some in range(0, len(blocks), 64):
+            mine = blocks[some : some + 64]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.ones(len(mine), np.int32)),
+                    pa.array(mine, pa.int64()),
+                    pa.nulls(len(mine), pa.int64()),
+                    pa.nulls(len(mine), pa.int64()),
+                    pa.array([pa.compress(counts[b : b + _CELL_BLOCK].tobytes(), "zstd", asbytes=True) for b in mine], pa.binary()),
+                ],
+                ["part", "doc_id", "n_shingles", "set_id", "counts"],
+            )
 
     return run
 
 
-def _merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the blocks of counters that this task received, block by block."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column("doc_id").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            got = np.frombuffer(counts, f"<u{len(counts) // _CELL_BLOCK}").astype(np.int64)
-            sums[block] = sums[block] + got if block in sums else got
-    if sums:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int64()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())],
-            ["block", "counts"],
-        )
+def _block_levels(join: JaccardJoin, mean: int):
+    """Sum the blocks of counters that this task received; a level per cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = min(_CELL_BLOCK, join.cells)
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column("doc_id").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                got = np.frombuffer(pa.decompress(counts, 2 * size, "zstd"), "<u2").astype(np.int64)
+                sums[block] = sums[block] + got if block in sums else got
+        if sums:
+            levels = []
+            for counts in sums.values():
+                above = np.maximum(counts - mean, 0)
+                level = np.floor(np.log2(above + 1)).astype(np.uint8)
+                levels.append(np.where(above >= join.frequent, level + 64, level).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(levels, pa.binary())], ["block", "levels"])
+
+    return run
 
 
 def _levels(join: JaccardJoin, survey: DataFrame) -> np.ndarray:
     """One byte per cell: its rarity level, plus 64 where tokens are frequent.
     The driver holds the fixed number of cells, never the tokens."""
+    (tokens,) = survey.where("part = 0").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     blocks = (
         survey.where("part = 1")
-        .repartition(max(1, join.cells // _CELL_BLOCK // 8), "doc_id")
-        .mapInArrow(_merge_counts, "block long, counts binary")
+        .repartition(max(1, join.cells // _CELL_BLOCK // 16), "doc_id")
+        .mapInArrow(_block_levels(join, tokens // join.cells), "block long, levels binary")
     )
-    counts = np.zeros(join.cells, np.int64)
+    level = np.zeros(join.cells, np.uint8)
     for block, piece in blocks.toLocalIterator():
-        counts[block : block + _CELL_BLOCK] += np.frombuffer(piece, "<i8")
-    above = np.maximum(counts - int(counts.mean()), 0)
-    level = np.floor(np.log2(above + 1)).astype(np.uint8)
-    return np.where(above >= join.frequent, level + 64, level).astype(np.uint8)
+        level[block : block + _CELL_BLOCK] = np.frombuffer(piece, np.uint8)
+    return level
 
 
 def _classes(join: JaccardJoin, size: int) -> tuple[int, int]:
@@ -182,14 +214,16 @@ def _classes(join: JaccardJoin, size: int) -> tuple[int, int]:
     return max(1, int(each[0])), max(1, int(each[1]))
 
 
-def prefix_signatures(join: JaccardJoin, tokens: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set, and the place in the order of each one's last token.
+def prefix_signatures(join: JaccardJoin, tokens: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Signatures of a set, the place in the order of each one's last token,
+    and how many places from the first on are signatures of one token.
 
     ``tokens`` are in the common order and ``level`` belongs to them.
     """
     need = join.lost(len(tokens)) + 1
     if len(tokens) < 2 or level[need - 1] < 64:
-        return tokens[:need], np.arange(min(need, len(tokens)))
+        need = min(need, len(tokens))
+        return tokens[:need], np.arange(need), need
     rare = int(np.searchsorted(level, 64))
     made, places = [tokens[:rare]], [np.arange(rare)]
     for classes in sorted(set(_classes(join, len(tokens)))):
@@ -208,7 +242,7 @@ def prefix_signatures(join: JaccardJoin, tokens: np.ndarray, level: np.ndarray)
                 places.append(rare + np.maximum(left, right))
     sig, place = np.concatenate(made), np.concatenate(places)
     sig, at = np.unique(sig, return_index=True)
-    return sig, place[at]
+    return sig, place[at], rare
 
 
 def _signatures(join: JaccardJoin, levels):
@@ -218,18 +252,19 @@ def _signatures(join: JaccardJoin, levels):
         level, seen, mask = levels.value, set(), np.uint64(join.cells - 1)
         for batch in batches:
             for _, _, raw, offs in bytetext.slices(batch.column("text")):
-                sigs, places, ids, sizes, reps = [], [], [], [], []
+                sigs, places, ids, sizes, singles, reps = [], [], [], [], [], []
                 for tokens in _sets(raw, offs, join.n):
                     if not len(tokens) or (own := _set_id(tokens)) in seen:
                         continue
                     seen.add(own)
                     lev = level[tokens & mask]
                     order = np.argsort(lev, kind="stable")
-                    sig, place = prefix_signatures(join, tokens[order], lev[order])
+                    sig, place, single = prefix_signatures(join, tokens[order], lev[order])
                     sigs.append(sig)
                     places.append(place)
                     ids.append(own)
                     sizes.append(len(tokens))
+                    singles.append(single)
                     reps.append(len(sig))
                 if sigs:
                     yield pa.RecordBatch.from_arrays(
@@ -238,27 +273,33 @@ def _signatures(join: JaccardJoin, levels):
                             pa.array(np.repeat(np.array(ids, np.int64), reps)),
                             pa.array(np.repeat(np.array(sizes, np.int32), reps)),
                             pa.array(np.concatenate(places).astype(np.int32)),
+                            pa.array(np.repeat(np.array(singles, np.int32), reps)),
                         ],
-                        ["sig", "set_id", "size", "place"],
+                        ["sig", "set_id", "size", "place", "singles"],
                     )
 
     return run
 
 
-_FILTER_BITS = 1 << 24
+def _filter_bits(ids: int) -> int:
+    """Bits of a filter for so many ids, between 2^20 and 2^26 (8 MB)."""
+    return 1 << min(26, max(20, (16 * ids).bit_length()))
 
 
-def _spots(ids: np.ndarray) -> np.ndarray:
+def _spots(ids: np.ndarray, bits: int) -> np.ndarray:
     h = bytetext.mix(ids.view(np.uint64).copy())
-    return np.concatenate([h & np.uint64(_FILTER_BITS - 1), (h >> np.uint64(32)) & np.uint64(_FILTER_BITS - 1)]).astype(np.int64)
+    return np.concatenate([h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(_FILTER_BITS, bool)
-    for batch in batches:
-        bits[_spots(batch.column("set_id").to_numpy())] = True
-    if bits.any():
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+def _mark(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(bits, bool)
+        for batch in batches:
+            marks[_spots(batch.column("set_id").to_numpy(), bits)] = True
+        if marks.any():
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(marks).tobytes()], pa.binary())], ["bits"])
+
+    return run
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
@@ -272,17 +313,18 @@ def _bitmap(tokens: np.ndarray) -> bytes:
 def _wanted_sets(join: JaccardJoin, docs: DataFrame, ids: DataFrame, form=np.ndarray.tobytes) -> DataFrame:
     """(set_id, tokens) of the sets asked for, computed again from the texts.
 
-    A filter of fixed size leaves out most other sets; a set may come once
+    A filter of bounded size leaves out most other sets; a set may come once
     from each task that has it.
     """
     spark = docs.sparkSession
-    packed = np.zeros(_FILTER_BITS // 8, np.uint8)
-    for (bits,) in ids.coalesce(8).mapInArrow(_mark, "bits binary").toLocalIterator():
+    size = _filter_bits(ids.count())
+    packed = np.zeros(size // 8, np.uint8)
+    for (bits,) in ids.coalesce(8).mapInArrow(_mark(size), "bits binary").toLocalIterator():
         packed |= np.frombuffer(bits, np.uint8)
     held = spark.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(held.value).astype(bool), set()
+        bits, seen = np.unpackbits(held.value).view(bool), set()
         for batch in batches:
             for _, _, raw, offs in bytetext.slices(batch.column("text")):
                 sets, own = [], []
@@ -292,7 +334,7 @@ def _wanted_sets(join: JaccardJoin, docs: DataFrame, ids: DataFrame, form=np.nda
                         own.append(_set_id(tokens))
                 if not sets:
                     continue
-                hit = bits[_spots(np.array(own, np.int64))].reshape(2, -1).all(0)
+                hit = bits[_spots(np.array(own, np.int64), size)].reshape(2, -1).all(0)
                 keep = [i for i in np.flatnonzero(hit) if own[i] not in seen]
                 keep = list({own[i]: i for i in keep}.values())
                 seen.update(own[i] for i in keep)
@@ -305,7 +347,7 @@ def _wanted_sets(join: JaccardJoin, docs: DataFrame, ids: DataFrame, form=np.nda
 
 
 def _bounded(join: JaccardJoin, pairs: DataFrame, maps: DataFrame) -> DataFrame:
-    """The pairs (a, b, n) whose bitmaps permit the threshold.
+    """The pairs (a, b) whose bitmaps permit the threshold.
 
     A bit of one set that the other lacks proves a token that it lacks, so the
     bound never drops a similar pair; a larger map folds to a smaller one.
@@ -323,10 +365,10 @@ def _bounded(join: JaccardJoin, pairs: DataFrame, maps: DataFrame) -> DataFrame:
                     y = y[: len(y) // 2] | y[len(y) // 2 :]
                 lacks = (int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum()))
                 keep.append((join.over + join.under) * min(na - lacks[0], nb - lacks[1]) >= join.over * (na + nb))
-            yield batch.select(["a", "b", "n"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(maps.toDF("a", "left", "na"), "a").join(maps.toDF("b", "right", "nb"), "b")
-    return both.select("a", "b", "n", "left", "right", "na", "nb").mapInArrow(run, "a long, b long, n long")
+    return both.select("a", "b", "left", "right", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 #: Members that are verified against one copy of their hub.
@@ -340,7 +382,6 @@ def _verified(join: JaccardJoin, pairs: DataFrame, sets: DataFrame) -> DataFrame
     copied to as many places, so no place holds more than a bounded number.
     Both sides are sorted, and pass one after another.
     """
-    pairs = staged(pairs.select("a", "b"), "pairs")
     places = pairs.groupBy("a").agg(F.ceil(F.count("*") / _MEMBERS).cast("int").alias("places"))
     places = staged(places, "hubs")
     dealt = broadcast_if_small(
@@ -372,14 +413,57 @@ def _verified(join: JaccardJoin, pairs: DataFrame, sets: DataFrame) -> DataFrame
     return together.select("a", "b", "tokens").mapInArrow(run, "a long, b long").distinct()
 
 
-def _possible(join: JaccardJoin):
-    """Length and position bounds of two members of a bucket, as a condition."""
-    small, large = F.least("size", "hub_size"), F.greatest("size", "hub_size")
-    most = F.least("place", "hub_place") + 1 + F.least(F.col("size") - F.col("place"), F.col("hub_size") - F.col("hub_place")) - 1
-    total = (F.col("size") + F.col("hub_size")).cast("long")
+def _possible(join: JaccardJoin, x, y):
+    """Bounds of two members of a bucket, as a condition.  x and y give the
+    columns of each: size, place of the signature's last token, and live tokens
+    before it."""
+    small, large = F.least(x("size"), y("size")), F.greatest(x("size"), y("size"))
+    after = F.least(x("size") - x("place"), y("size") - y("place")) - 1
+    most = F.least(x("before"), y("before")) + 1 + after
+    total = (x("size") + y("size")).cast("long")
     return (join.under * small >= join.over * large) & ((join.over + join.under) * most >= join.over * total)
 
 
+def _buckets(join: JaccardJoin, docs: DataFrame, levels) -> DataFrame:
+    """Rows (sig, set_id, size, place, before, most) of the sets that share a
+    signature with a set which the bounds permit; one bucket of each members.
+    ``most``: tokens that it may share with others of the bucket."""
+    in_bucket, bucket = Window.partitionBy("sig").orderBy("set_id"), Window.partitionBy("sig")
+    here = F.struct("size", "place", F.col("place").alias("before"))
+    other = F.coalesce(F.lag("here").over(in_bucket), F.lead("here").over(in_bucket))
+    rows = (
+        docs.select("text")
+        .mapInArrow(_signatures(join, levels), "sig long, set_id long, size int, place int, singles int")
+        .withColumn("twin", F.lag("set_id").over(in_bucket))
+        .where("twin is null or twin <> set_id")
+        .withColumn("after", F.lead("set_id").over(in_bucket))
+        .withColumn("prior", F.lag("set_id").over(in_bucket))
+        .where("prior is not null or after is not null")
+        .drop("twin", "after", "prior")
+        .withColumn("here", here)
+        .withColumns({"n": F.count("*").over(bucket), "low": F.min("set_id").over(bucket), "members": F.bit_xor(F.xxhash64("set_id")).over(bucket)})
+        .withColumn("other", F.when(F.col("n") == 2, other))
+        .where((F.col("n") > 2) | _possible(join, lambda c: F.col("here")[c], lambda c: F.col("other")[c]))
+        .drop("here", "other")
+    )
+    with batch_rows(docs.sparkSession, 1024):
+        rows = staged(rows, "buckets")
+    of_set = Window.partitionBy("set_id")
+    single = F.col("place") < F.col("singles")
+    dead = F.col("singles") - F.col("live")
+    rows = (
+        rows.withColumns({"live": F.count(F.when(single, 1)).over(of_set), "nth": F.row_number().over(of_set.orderBy("place"))})
+        .withColumn("before", F.when(single, F.col("nth") - 1).otherwise(F.col("place") - dead))
+        .withColumn("most", F.col("before") + F.col("size") - F.col("place"))
+        .drop("singles", "live", "nth")
+    )
+    rows = staged(rows, "live")
+    kept = rows.groupBy("members", "n", "low").agg(F.min("sig").alias("sig")).select("sig")
+    able = (join.over + join.under) * F.col("most") >= join.over * (F.col("size") + F.min("size").over(bucket))
+    rows = rows.join(kept, "sig", "left_semi").select("sig", "set_id", "size", "place", "before", "most")
+    return rows.withColumn("able", able).where("able").drop("able")
+
+
 def similar_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[DataFrame, DataFrame]:
     """(survey, roots) of (doc_id, text) rows.
 
@@ -394,88 +478,60 @@ def similar_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
             docs.mapInArrow(_survey(join), "part int, doc_id long, n_shingles long, set_id long, counts binary"), "survey"
         )
     levels = spark.sparkContext.broadcast(_levels(join, survey))
-    in_bucket = Window.partitionBy("sig").orderBy("set_id")
-    so_far = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = (
-        docs.select("text")
-        .mapInArrow(_signatures(join, levels), "sig long, set_id long, size int, place int")
-        .withColumn("before", F.lag("set_id").over(in_bucket))
-        .where("before is null or before <> set_id")
-        .drop("before")
-        .withColumn("rank", F.row_number().over(in_bucket))
-        .withColumn("after", F.lead("set_id").over(in_bucket))
-        .withColumn("hub", F.first("set_id").over(so_far))
-        .withColumn("hub_size", F.first("size").over(so_far))
-        .withColumn("hub_place", F.first("place").over(so_far))
-        .where("rank > 1 or after is not null")
-        .drop("after")
+    by_share = Window.partitionBy("sig").orderBy(F.desc(F.col("most") / F.col("size")), "set_id")
+    hub = F.first(F.struct("set_id", "size", "place", "before")).over(by_share)
+    rows = staged(_buckets(join, docs, levels).withColumn("hub", hub), "open")
+
+    met = rows.where("set_id <> hub.set_id").where(_possible(join, F.col, lambda c: F.col("hub")[c]))
+    met = met.groupBy(F.col("hub.set_id").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("n"))
+    nearest = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    first = met.withColumn("nth", F.row_number().over(nearest)).where("nth = 1").select("a", "b")
+    links = _checked(join, docs, staged(first, "first"))
+    roots = components(links)
+
+    bucket = Window.partitionBy("sig")
+    apart = (
+        rows.drop("hub", "most")
+        .join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+        .withColumn("root", F.coalesce("root", "set_id"))
+        .withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)})
+        .where("low <> high")
+        .drop("low", "high")
     )
-    with batch_rows(spark, 1024):
-        rows = staged(rows, "buckets")
-    sized = rows.select("set_id", "size").distinct()
-    with batch_rows(spark, 1024):
-        found = _wanted_sets(join, docs, sized.select("set_id"), _bitmap)
-        maps = staged(found.dropDuplicates(["set_id"]).join(sized, "set_id"), "bitmaps")
+    apart = staged(apart, "apart")
+    told = apart.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, join.known).alias("sigs"))
+    left = apart.join(told, "set_id")
+    right = left.select("sig", *[F.col(c).alias(f"its_{c}") for c in left.columns if c != "sig"])
+    met_at = F.coalesce(F.array_min(F.array_intersect("sigs", "its_sigs")), F.col("sig"))
     pairs = (
-        rows.where("rank > 1")
-        .where(_possible(join))
-        .groupBy(F.col("hub").alias("a"), F.col("set_id").alias("b"))
-        .agg(F.count("*").alias("n"))
+        left.join(right, "sig")
+        .where("set_id < its_set_id and root <> its_root")
+        .where(_possible(join, F.col, lambda c: F.col(f"its_{c}")))
+        .where(met_at >= F.col("sig"))
+        .select(F.col("set_id").alias("a"), F.col("its_set_id").alias("b"))
+        .distinct()
     )
-    links, roots = _resolved(join, docs, pairs, maps, None, None)
-    hubs, rows = 1, rows.select("sig", "set_id", "size", "place", "rank")
-    while True:
-        rows = (
-            rows.where(F.col("rank") > hubs)
-            .join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-            .select("sig", "set_id", "size", "place", F.coalesce("root", "set_id").alias("root"))
-        )
-        open_ = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-        rows = staged(rows.join(open_, "sig", "left_semi").withColumn("rank", F.row_number().over(in_bucket)), "buckets")
-        if rows.isEmpty():
-            break
-        hubs *= 8
-        hub = rows.where(F.col("rank") <= hubs).select(
-            "sig", *[F.col(c).alias(f"hub_{c}") for c in ("set_id", "size", "place", "root", "rank")]
-        )
-        pairs = (
-            rows.join(hub, "sig")
-            .where("rank > hub_rank and root <> hub_root")
-            .where(_possible(join))
-            .groupBy(F.col("hub_set_id").alias("a"), F.col("set_id").alias("b"))
-            .agg(F.count("*").alias("n"))
-        )
-        links, roots = _resolved(join, docs, pairs, maps, links, roots)
-        rows = rows.drop("root")
+    pairs = staged(pairs, "pairs")
+    if pairs.isEmpty():
+        return survey.where("part = 0").select("doc_id", "n_shingles", "set_id"), roots
+    sized = apart.select("set_id", "size").distinct()
+    with batch_rows(spark, 1024):
+        ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+        maps = _wanted_sets(join, docs, staged(ids, "ids"), _bitmap).dropDuplicates(["set_id"])
+        maps = staged(maps.join(sized, "set_id"), "bitmaps")
+    more = _checked(join, docs, staged(_bounded(join, pairs, maps), "bounded"))
+    if not more.isEmpty():
+        roots = components(links.union(more))
     return survey.where("part = 0").select("doc_id", "n_shingles", "set_id"), roots
 
 
-def _resolved(join: JaccardJoin, docs: DataFrame, pairs: DataFrame, maps: DataFrame, links: DataFrame | None, roots: DataFrame | None):
-    """Links and components after every pair (a, b, n) is ruled out, verified
-    or in one component.  At first each b is compared with the hub it shares
-    most signatures with; then whatever that leaves open is."""
-    pairs = staged(_bounded(join, pairs, maps), "bounded")
-    if pairs.isEmpty() and links is not None:
-        return links, roots
-    pairs = staged(pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))), "open")
+def _checked(join: JaccardJoin, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a written table whose sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     with batch_rows(docs.sparkSession, 1024):
-        sets = staged(_wanted_sets(join, docs, ids), "sets")
-    for some in ("nth = 1", "nth > 1") if links is None else ("true",):
-        open_ = pairs.where(some)
-        if roots is not None:
-            of = roots.select("node", "root")
-            open_ = (
-                open_.join(of.toDF("a", "root_a"), "a", "left")
-                .join(of.toDF("b", "root_b"), "b", "left")
-                .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-            )
-        with batch_rows(docs.sparkSession, 256):
-            more = staged(_verified(join, open_, sets), "links")
-        if roots is None or not more.isEmpty():
-            links = more if links is None else links.union(more)
-            roots = components(links)
-    return links, roots
+        sets = staged(_wanted_sets(join, docs, staged(ids, "ids")), "sets")
+    with batch_rows(docs.sparkSession, 256):
+        return staged(_verified(join, pairs, sets), "links")
 
 
 def near_duplicate_groups(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> DataFrame:
