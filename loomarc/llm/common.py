@@ -24,6 +24,8 @@ def scratch_dir(spark: SparkSession) -> str:
     )
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_SCRATCH:
         _OWN_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="loomarc-")
@@ -64,18 +66,33 @@ BROADCAST_ROWS = 1_000_000
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of so many rows at most for the jobs run inside, where
-    rows are wide; the session's own setting is put back after."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most for the jobs run inside, where
+    rows are wide; the session's own setting is put back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    with _setting(spark, key, str(min(rows, before) if before > 0 else rows)):
+        yield
+
+
+@contextmanager
+def uncoalesced(spark: SparkSession) -> Iterator[None]:
+    """Keep all shuffle partitions of the jobs run inside, for those that do
+    much work on few bytes; the session's own setting is put back after."""
+    with _setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        yield
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Mark a table of a few numbers a row, already staged, for broadcast if
     its rows are at most ``BROADCAST_ROWS``; else it is joined by a shuffle."""

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext
-from .common import batch_rows, broadcast_if_small, staged
+from .common import batch_rows, broadcast_if_small, staged, uncoalesced
 from .components import components
 
 
@@ -441,26 +441,25 @@ def _buckets(join: JaccardJoin, docs: DataFrame, levels) -> DataFrame:
         .where("prior is not null or after is not null")
         .drop("twin", "after", "prior")
         .withColumn("here", here)
-        .withColumns({"n": F.count("*").over(bucket), "low": F.min("set_id").over(bucket), "members": F.bit_xor(F.xxhash64("set_id")).over(bucket)})
+        .withColumns({"n": F.count("*").over(bucket), "low": F.min("set_id").over(bucket), "all": F.bit_xor(F.xxhash64("set_id")).over(bucket)})
         .withColumn("other", F.when(F.col("n") == 2, other))
         .where((F.col("n") > 2) | _possible(join, lambda c: F.col("here")[c], lambda c: F.col("other")[c]))
-        .drop("here", "other")
+        .select("sig", "set_id", "size", "place", "singles", F.xxhash64("all", "n", "low").alias("members"))
     )
     with batch_rows(docs.sparkSession, 1024):
         rows = staged(rows, "buckets")
+    kept = staged(rows.groupBy("members").agg(F.min("sig").alias("sig")).select("sig"), "kept")
     of_set = Window.partitionBy("set_id")
     single = F.col("place") < F.col("singles")
     dead = F.col("singles") - F.col("live")
     rows = (
-        rows.withColumns({"live": F.count(F.when(single, 1)).over(of_set), "nth": F.row_number().over(of_set.orderBy("place"))})
+        rows.drop("members").withColumns({"live": F.count(F.when(single, 1)).over(of_set), "nth": F.row_number().over(of_set.orderBy("place"))})
         .withColumn("before", F.when(single, F.col("nth") - 1).otherwise(F.col("place") - dead))
-        .withColumn("most", F.col("before") + F.col("size") - F.col("place"))
         .drop("singles", "live", "nth")
+        .join(broadcast_if_small(kept), "sig", "left_semi")
+        .withColumn("most", F.col("before") + F.col("size") - F.col("place"))
     )
-    rows = staged(rows, "live")
-    kept = rows.groupBy("members", "n", "low").agg(F.min("sig").alias("sig")).select("sig")
     able = (join.over + join.under) * F.col("most") >= join.over * (F.col("size") + F.min("size").over(bucket))
-    rows = rows.join(kept, "sig", "left_semi").select("sig", "set_id", "size", "place", "before", "most")
     return rows.withColumn("able", able).where("able").drop("able")
 
 
@@ -498,20 +497,20 @@ def similar_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
         .where("low <> high")
         .drop("low", "high")
     )
-    apart = staged(apart, "apart")
-    told = apart.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, join.known).alias("sigs"))
-    left = apart.join(told, "set_id")
-    right = left.select("sig", *[F.col(c).alias(f"its_{c}") for c in left.columns if c != "sig"])
+    every = Window.partitionBy("set_id").orderBy("sig").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    apart = staged(apart.withColumn("sigs", F.slice(F.collect_list("sig").over(every), 1, join.known)), "apart")
+    right = apart.select("sig", *[F.col(c).alias(f"its_{c}") for c in apart.columns if c != "sig"])
     met_at = F.coalesce(F.array_min(F.array_intersect("sigs", "its_sigs")), F.col("sig"))
     pairs = (
-        left.join(right, "sig")
+        apart.join(right, "sig")
         .where("set_id < its_set_id and root <> its_root")
         .where(_possible(join, F.col, lambda c: F.col(f"its_{c}")))
         .where(met_at >= F.col("sig"))
         .select(F.col("set_id").alias("a"), F.col("its_set_id").alias("b"))
         .distinct()
     )
-    pairs = staged(pairs, "pairs")
+    with uncoalesced(spark):  # few bytes, many comparisons
+        pairs = staged(pairs, "pairs")
     if pairs.isEmpty():
         return survey.where("part = 0").select("doc_id", "n_shingles", "set_id"), roots
     sized = apart.select("set_id", "size").distinct()
