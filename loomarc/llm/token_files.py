@@ -90,6 +90,21 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return out.ravel()[start - group * 8 : stop - group * 8]
 
 
+class _Kept(dict):
+    """Ids of pieces; one that is asked for and missing is noted, and gets its
+    ids when it has been learned."""
+
+    def __init__(self):
+        self.new: list[str] = []
+        self.open: list[bytearray] = []
+
+    def __missing__(self, piece: str) -> bytearray:
+        ids = self[piece] = bytearray()
+        self.new.append(piece)
+        self.open.append(ids)
+        return ids
+
+
 class Encoder:
     """Ids of whole texts as the library gives them, piece by piece.
 
@@ -128,11 +143,14 @@ class Encoder:
         )
         special = sorted((t["content"] for t in told["added_tokens"]), key=len, reverse=True)
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        self.by_piece = self.by_piece and len(line) == 1
+        self.line = line[0] if line else None
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else None
         #: White space other than single spaces and line ends.
         self.odd = [a + b for a in " \n" for b in " \n"] + [c for c in re.findall(rf"[{self.WHITE}]", "".join(map(chr, range(0x3001)))) if c not in " \n"] + ["\0", "\1"]
         self.cut = re.compile(rf"[{self.WHITE}]*[^{self.WHITE}]+|[{self.WHITE}]+").findall
-        self.kept: dict[str, bytes] = {}
+        self.kept = _Kept()
 
     @property
     def vocabulary(self) -> int:
@@ -142,15 +160,16 @@ class Encoder:
         if not self.by_piece:
             made = self.library.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(e.ids, np.uint32) for e in made]
-        if len(self.kept) > self.KEPT:
-            self.kept.clear()
-        pieces = [self._pieces(t) for t in texts]
-        found = [list(map(self.kept.get, p)) for p in pieces]
-        short = [i for i, f in enumerate(found) if None in f]
-        if short:
-            self._learn(list(dict.fromkeys(p for i in short for p, f in zip(pieces[i], found[i], strict=True) if f is None)))
-            for i in short:
-                found[i] = list(map(self.kept.__getitem__, pieces[i]))
+        kept = self.kept
+        if len(kept) > self.KEPT:
+            kept.clear()
+        found = [list(map(kept.__getitem__, self._pieces(t))) for t in texts]
+        if kept.new:
+            new, waiting = kept.new, kept.open
+            kept.new, kept.open = [], []
+            self._learn(new)
+            for _ in map(bytearray.extend, waiting, map(kept.__getitem__, new)):
+                pass
         return [np.frombuffer(b"".join(f), np.uint32) for f in found]
 
     def _pieces(self, text: str) -> list[str]:
@@ -175,37 +194,39 @@ class Encoder:
         others follow a space unless they begin a line.  Marks that end a
         piece after a letter or digit are a pre-token of their own, so its
         ids are those of the piece without them and theirs."""
-        plain, ended = {}, []
-        for p in new:
+        kept, plain, lines, ended = self.kept, [p for p in new if p.isalnum()], {}, []
+        for p in [p for p in new if not p.isalnum()]:
             if p[:1] == "\0":
-                self.kept[p] = np.uint32(self.special[p[1:]]).tobytes()
+                kept[p] = np.uint32(self.special[p[1:]]).tobytes()
             elif p[:1] == "\1" or p in ("", "\n"):
                 self._as_it_is(p, p[1:] if p[:1] == "\1" else p or " ")
             else:
                 stem = p.rstrip(self.MARKS)
                 if len(stem) < len(p) and stem and stem[-1] < "\u0250" and stem[-1].isalnum():
                     ended.append((p, stem))
-                    if stem not in self.kept:
-                        plain[stem] = None
+                    p = stem
+                    if p in kept:
+                        continue
+                if p[0] == "\n":
+                    lines[p] = None
                 else:
-                    plain[p] = None
+                    plain.append(p)
         # A line end before a space or a word is a token of its own, so one
         # text of many lines gives the ids of many pieces.
-        line = np.array(self.library.encode("\n", add_special_tokens=False).ids, np.uint32)
-        plain = list(plain)
-        for k in range(0, len(plain), 500):
-            some = plain[k : k + 500]
-            text = "".join([p if p[0] == "\n" else f"\n {p}" for p in some])
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == line[0])
-            if len(line) != 1 or len(cuts) != len(some):
-                raise ValueError("the tokenizer does not keep line ends apart")
-            raw, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            for p, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
-                self.kept[p] = raw[a if p[0] == "\n" else a + 4 : b]
+        for pieces, lead in ((list(dict.fromkeys(plain)), "\n "), (list(lines), "")):
+            for k in range(0, len(pieces), 500):
+                some = pieces[k : k + 500]
+                ids = np.array(self.library.encode_batch_fast([lead + lead.join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = np.flatnonzero(ids == self.line)
+                if len(cuts) != len(some):
+                    raise ValueError("the tokenizer does not keep line ends apart")
+                raw = ids.tobytes()
+                begins = (4 * (cuts + len(lead) // 2)).tolist()
+                ends = [*(4 * cuts[1:]).tolist(), len(raw)]
+                kept.update(zip(some, map(raw.__getitem__, map(slice, begins, ends)), strict=True))
         for p, stem in ended:
             marks = p[len(stem) :]
-            self.kept[p] = self.kept[stem] + (self.kept.get(f"\1{marks}") or self._as_it_is(f"\1{marks}", marks))
+            self.kept[p] = bytes(self.kept[stem]) + (self.kept.get(f"\1{marks}") or self._as_it_is(f"\1{marks}", marks))
 
     def _as_it_is(self, piece: str, text: str) -> bytes:
         self.kept[piece] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
