@@ -222,8 +222,10 @@ def contamination(docs: DataFrame, items: DataFrame, rule: Decontamination = Dec
 def decontaminate(docs: DataFrame, items: DataFrame, rule: Decontamination = Decontamination()) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns.
 
-    A null doc_id is decided like any other, by its own text.
+    Each row is decided by its text alone, whatever its doc_id, so null and
+    repeated ids do no harm; null and empty texts stay; columns of any name
+    are kept; no rows give no rows.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
-    bad = contamination(keyed.select(F.col("_row").alias("doc_id"), "text"), items, rule).where("contaminated")
-    return without(keyed, "_row", bad.select("doc_id")).drop("_row")
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("key"), "text")
+    bad = contamination(keyed.select(F.col("key").alias("doc_id"), "text"), items, rule).where("contaminated")
+    return without(keyed.drop("text"), "key", bad.select("doc_id")).select("row.*")

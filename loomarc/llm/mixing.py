@@ -148,14 +148,24 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mixed(docs: DataFrame, rule: Mixing = Mixing()) -> DataFrame:
     """docs with _block, _slot and _position: the order of the mixture.
 
-    docs: doc_id, source and any other columns.  A null source is one of its
-    own; rows with equal doc_id are both kept; no rows give no rows.
-    Positions rise with slots and are unique; a source's last block may hold
-    fewer rows, so positions may leave gaps.
+    docs: doc_id, source and any other columns; its own columns _block, _slot
+    or _position are replaced.  A null source is one of its own; rows with
+    equal or null doc_id are all kept; texts of any length only move; no rows
+    give no rows.  Positions rise with slots and are unique; a source's last
+    block may hold fewer rows, so positions may leave gaps.
     """
+    out = _placed(docs, rule)
+    return out.select("row.*", "_block", "_slot", "_position") if not {"_block", "_slot", "_position"} & set(docs.columns) else out.select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in ("_block", "_slot", "_position")], "_block", "_slot", "_position"
+    )
+
+
+def _placed(docs: DataFrame, rule: Mixing) -> DataFrame:
+    """row (all columns of docs), _block, _slot, _position."""
     spark = docs.sparkSession
-    named = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("\0")))
-    dealt = named.repartitionByRange("_source", "doc_id").sortWithinPartitions("_source", "doc_id")
+    source = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
+    named = docs.select(F.struct("*").alias("row"), source.alias("_source"), F.col("doc_id").alias("_id"))
+    dealt = named.repartitionByRange("_source", "_id").sortWithinPartitions("_source", "_id")
     schema = _with(dealt, "_part", "_local")
     dealt = staged(dealt.mapInArrow(_numbered, schema), "mixing")
     # A row for each task and source in it.
@@ -179,11 +189,12 @@ def mixed(docs: DataFrame, rule: Mixing = Mixing()) -> DataFrame:
     placed = dealt.join(parts.drop("_rows"), ["_source", "_part"]).withColumn("_rank", rank)
     placed = placed.withColumn("_block", F.expr(f"_rank div {rule.block}")).join(broadcast_if_small(plan), ["_source", "_block"])
     position = F.col("_slot") * rule.block + F.col("_rank") % rule.block
-    return placed.select(*docs.columns, "_block", "_slot", position.alias("_position"))
+    return placed.select("row", "_block", "_slot", position.alias("_position"))
 
 
 def in_mixed_order(docs: DataFrame, rule: Mixing = Mixing()) -> DataFrame:
-    """docs with their own columns, in the order of the mixture: partitions
-    and the rows in them follow it, and so do files written from them."""
-    out = mixed(docs, rule)
-    return out.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    """docs with their own columns, of any names, in the order of the mixture:
+    partitions and the rows in them follow it, and so do files written from
+    them.  Null and repeated ids and null sources are handled as in :func:`mixed`."""
+    out = _placed(docs, rule)
+    return out.repartitionByRange("_position").sortWithinPartitions("_position").select("row.*")

@@ -263,7 +263,8 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs with ``_score`` (0 to 1) and ``_toxic`` (score >= 0.5).
 
     Null and empty texts score as a text without a match; repeated rows score
-    alike; all columns of docs are kept; no rows give no rows.
+    alike; all columns of docs are kept, but for its own columns of these two
+    names, which are replaced; doc_id is not read; no rows give no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
