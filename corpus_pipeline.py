@@ -1,6 +1,10 @@
 """A corpus pipeline: five stages over ``documents``, each an operator of
 ``loomarc.llm``.  Every stage is written as Parquet and read again as the next
-one's input, so a lost executor repeats a part of one stage only."""
+one's input, so a lost executor repeats a part of one stage only.
+
+Every stage decides on rows: null and repeated ids, null and empty texts and
+texts of any length are documents like others, no rows give no rows, and
+further columns, of whatever name, stay as they are."""
 
 from __future__ import annotations
 
@@ -15,25 +19,29 @@ from loomarc.session import ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar, fitted on the labels, does not reject."""
+    """Documents that the grammar, fitted on the labels, does not reject; a
+    null or empty text is judged as one without a match."""
     ship_package(spark)
     labels = with_table(spark, sf_dir, "labels").where(id_fold(F.col("doc_id"), 5) != 0)
     model = toxicity.train(docs, labels)
-    return toxicity.scored(docs, model).where(~F.col("_toxic")).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return toxicity.scored(rows, model).where(~F.col("_toxic")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the smallest id, nulls
-    last, then by text; repeated rows are duplicates as well."""
+    last, then by text; repeated rows are duplicates as well.  Texts without
+    words are no duplicates."""
     ship_package(spark)
-    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = jaccard_join.near_duplicate_groups(keyed.select(F.col("_row").alias("doc_id"), "text"))
-    alike = groups.where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
-    rank = F.struct(F.isnull("doc_id").alias("_none"), "doc_id", F.xxhash64("text").alias("_text"), "_row")
-    ranked = staged(keyed.select("_row", rank.alias("_rank")).join(alike, "_row"), "ranks")
-    first = ranked.groupBy("component_id").agg(F.min("_rank")["_row"].alias("_first"))
-    drop = ranked.join(first, "component_id").where("_row <> _first").select("_row")
-    return without(keyed, "_row", drop).select(*docs.columns)
+    keyed = staged(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
+    groups = jaccard_join.near_duplicate_groups(keyed.select(F.col("key").alias("doc_id"), F.col("row")["text"].alias("text")))
+    alike = groups.where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id")
+    doc_id = F.col("row")["doc_id"]
+    rank = F.struct(F.isnull(doc_id).alias("none"), doc_id.alias("id"), F.xxhash64(F.col("row")["text"]).alias("text"), "key")
+    ranked = staged(keyed.select("key", rank.alias("rank")).join(alike, "key"), "ranks")
+    first = ranked.groupBy("component_id").agg(F.min("rank")["key"].alias("first"))
+    drop = ranked.join(first, "component_id").where("key <> first").select("key")
+    return without(keyed, "key", drop).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
