@@ -448,15 +448,17 @@ def _buckets(join: JaccardJoin, docs: DataFrame, levels) -> DataFrame:
     )
     with batch_rows(docs.sparkSession, 1024):
         rows = staged(rows, "buckets")
-    kept = staged(rows.groupBy("members").agg(F.min("sig").alias("sig")).select("sig"), "kept")
+    kept = staged(rows.groupBy("members").agg(F.min("sig").alias("sig")).select("sig", F.lit(True).alias("kept")), "kept")
+    rows = rows.join(broadcast_if_small(kept), "sig", "left")
     of_set = Window.partitionBy("set_id")
     single = F.col("place") < F.col("singles")
     dead = F.col("singles") - F.col("live")
     rows = (
-        rows.drop("members").withColumns({"live": F.count(F.when(single, 1)).over(of_set), "nth": F.row_number().over(of_set.orderBy("place"))})
+        rows.select(*[F.when(F.col("kept"), F.col(c)).alias(c) for c in ("sig", "size")], "set_id", "place", "singles")
+        .withColumns({"live": F.count(F.when(single, 1)).over(of_set), "nth": F.row_number().over(of_set.orderBy("place"))})
         .withColumn("before", F.when(single, F.col("nth") - 1).otherwise(F.col("place") - dead))
-        .drop("singles", "live", "nth")
-        .join(broadcast_if_small(kept), "sig", "left_semi")
+        .select("sig", "set_id", "size", "place", "before")
+        .where("sig is not null")
         .withColumn("most", F.col("before") + F.col("size") - F.col("place"))
     )
     able = (join.over + join.under) * F.col("most") >= join.over * (F.col("size") + F.min("size").over(bucket))

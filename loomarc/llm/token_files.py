@@ -92,13 +92,23 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 
 class _Kept(dict):
     """Ids of pieces; one that is asked for and missing is noted, and gets its
-    ids when it has been learned."""
+    ids when it has been learned.  What a generation before this one knew is
+    taken over when it is asked for."""
 
     def __init__(self):
         self.new: list[str] = []
         self.open: list[bytearray] = []
+        self.before: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytearray:
+    def turn(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
+    def __missing__(self, piece: str) -> bytes | bytearray:
+        ids = self.before.get(piece)
+        if ids is not None:
+            self[piece] = ids
+            return ids
         ids = self[piece] = bytearray()
         self.new.append(piece)
         self.open.append(ids)
@@ -112,11 +122,11 @@ class Encoder:
     of them goes on from other characters into white space.  So a text may be
     cut before every run of white space; each distinct piece is encoded by the
     library once and its ids are kept.  Texts are cut at the special strings
-    first, as the library does.  What is kept is bounded: when full it starts
-    anew.
+    first, as the library does.  What is kept is bounded: when a generation is
+    full a new one begins, which takes over what it meets again.
     """
 
-    KEPT = 1_500_000
+    KEPT = 400_000
     #: Marks that often end a word.
     MARKS = ".,;:!?"
     #: White space of Unicode (fixed values).
@@ -162,7 +172,7 @@ class Encoder:
             return [np.array(e.ids, np.uint32) for e in made]
         kept = self.kept
         if len(kept) > self.KEPT:
-            kept.clear()
+            kept.turn()
         found = [list(map(kept.__getitem__, self._pieces(t))) for t in texts]
         if kept.new:
             new, waiting = kept.new, kept.open
