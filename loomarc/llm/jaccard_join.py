@@ -23,8 +23,8 @@ only.  Buckets with equal members are one bucket.  Then, in two steps:
 1. In each bucket the set with the fewest dead tokens is the hub; every set is
    verified with the hub it meets most often, and links become components.
 2. Pairs in different components that the bounds permit are listed where they
-   first meet (in the smallest of their common signatures, as far as the
-   ``known`` smallest of each tell), bounded by bitmaps, and verified.
+   first meet (in the largest of their common buckets, as far as the ``known``
+   largest of each tell), bounded by bitmaps, and verified.
 
 Copies of one text thus meet one hub, not one another.
 """
@@ -53,7 +53,7 @@ class JaccardJoin:
     It counts all n-grams of all texts; its size changes the cost of a run
     and never its result.  From ``frequent`` texts above the mean load of a
     cell on, tokens work in pairs; ``class_tokens`` is the number of prefix
-    tokens a class should hold; ``known`` the number of a set's signatures
+    tokens a class should hold; ``known`` the number of a set's buckets
     that tell where a pair meets first.
     """
 
@@ -63,7 +63,7 @@ class JaccardJoin:
     cells: int = 1 << 24
     frequent: int = 1000
     class_tokens: int = 4
-    known: int = 16
+    known: int = 6
 
     def lost(self, size: int) -> int:
         """Tokens of a set of this size that a partner may lack."""
@@ -495,19 +495,26 @@ def similar_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
         rows.drop("hub", "most")
         .join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
         .withColumn("root", F.coalesce("root", "set_id"))
-        .withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)})
+        .withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket), "n": F.count("*").over(bucket)})
         .where("low <> high")
         .drop("low", "high")
     )
-    every = Window.partitionBy("set_id").orderBy("sig").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    apart = staged(apart.withColumn("sigs", F.slice(F.collect_list("sig").over(every), 1, join.known)), "apart")
+    # A set's buckets, large ones first: what it has before this one.
+    in_turn = Window.partitionBy("set_id").orderBy(F.desc("n"), "sig")
+    every = in_turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    turns = apart.withColumns({"nth": F.row_number().over(in_turn), "sigs": F.slice(F.collect_list("sig").over(every), 1, join.known)})
+    prior = [F.when(F.col("nth") > k + 1, F.get("sigs", k)).alias(f"prior{k}") for k in range(join.known)]
+    apart = staged(turns.select("sig", "set_id", "size", "place", "before", "root", *prior), "apart")
     right = apart.select("sig", *[F.col(c).alias(f"its_{c}") for c in apart.columns if c != "sig"])
-    met_at = F.coalesce(F.array_min(F.array_intersect("sigs", "its_sigs")), F.col("sig"))
+    met = F.lit(False)
+    for k in range(join.known):
+        for its in range(join.known):
+            met = met | (F.col(f"prior{k}") == F.col(f"its_prior{its}"))
     pairs = (
         apart.join(right, "sig")
         .where("set_id < its_set_id and root <> its_root")
         .where(_possible(join, F.col, lambda c: F.col(f"its_{c}")))
-        .where(met_at >= F.col("sig"))
+        .where(~F.coalesce(met, F.lit(False)))
         .select(F.col("set_id").alias("a"), F.col("its_set_id").alias("b"))
         .distinct()
     )
