@@ -58,9 +58,7 @@ def sets():
     return out
 
 
-@pytest.mark.parametrize("rule", [jaccard_join.JaccardJoin(cells=1 << 14), jaccard_join.JaccardJoin(cells=1 << 14, frequent=1)])
-def test_jaccard_join(docs, none, rule):
-    all_sets = sets()
+def components_of(all_sets):
     root = {k: k for k in all_sets}
 
     def find(k):
@@ -73,11 +71,43 @@ def test_jaccard_join(docs, none, rule):
         if x and y and 100 * len(x & y) >= 75 * len(x | y):
             low, high = sorted((find(a), find(b)))
             root[high] = low
+    return {k: find(k) for k in all_sets}
+
+
+@pytest.mark.parametrize("rule", [jaccard_join.JaccardJoin(cells=1 << 14), jaccard_join.JaccardJoin(cells=1 << 14, frequent=1)])
+def test_jaccard_join(docs, none, rule):
+    all_sets = sets()
+    found = components_of(all_sets)
     got = jaccard_join.near_duplicate_groups(docs, rule).collect()
-    assert sorted(map(tuple, got)) == sorted((k, len(all_sets[k]), find(k)) for k, *_ in ROWS)
+    assert sorted(map(tuple, got)) == sorted((k, len(all_sets[k]), found[k]) for k, *_ in ROWS)
     assert jaccard_join.near_duplicate_groups(none, rule).count() == 0
 
 
+def test_jaccard_join_of_dense_groups(spark):
+    """Families of copies around the threshold, cut and joined, and a passage
+    in many texts: every link through every chain, with few known buckets."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage, texts = [word() for _ in range(30)], []
+    for _ in range(4):
+        base = [word() for _ in range(rng.randint(50, 90))]
+        for _ in range(40):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = word()
+            cut = rng.randint(0, 12)
+            texts.append(copy[cut:] if rng.random() < 0.5 else copy + [word() for _ in range(cut)])
+    texts += [[*passage, *[word() for _ in range(rng.randint(2, 14))]] for _ in range(40)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    all_sets = {k: {tuple(t[i : i + 5]) for i in range(len(t) - 4)} for k, t in enumerate(texts)}
+    rule = jaccard_join.JaccardJoin(cells=1 << 14, frequent=25, known=2)
+    got = jaccard_join.near_duplicate_groups(docs, rule).collect()
+    found = components_of(all_sets)
+    assert {r[0]: r[2] for r in got} == found
+    assert 10 < len(set(found.values())) < len(found)
+
+
 @pytest.mark.parametrize("most", [1, 1000])
 def test_contamination(spark, docs, none, most):
     words = ALNUM.findall(ROWS[1][1].translate(LOWER))
