@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import paths, urls
 from ..functions import text as tx
-from ..functions import urls
-from ..operators import archive, related
+from ..operators import archive, identity, related
 from .registry import query, table
 
 _LINKS = f"WITH links AS ({urls.CANONICAL_SQL})"
@@ -236,3 +236,52 @@ def sitemap_union(spark, sf):
         lines.select("l_suppkey", F.col("l_orderkey"), "l_shipdate")
     )
     return each.groupBy("l_suppkey", "loc").agg(F.max("lastmod").alias("lastmod"))
+
+
+@query(
+    _FINGER.replace("WITH w", "WITH RECURSIVE w")
+    + """, k AS (SELECT doc_id, 't:' || fingerprint AS key FROM f WHERE fingerprint IS NOT NULL
+      UNION SELECT doc_id, 'o:' || lower(array_to_string(ws[1:12], ' ')) FROM f WHERE len(ws) >= 64),
+    e AS (SELECT key, min(doc_id) AS x FROM k GROUP BY key), pairs AS (SELECT doc_id AS a, x AS b FROM k JOIN e USING (key) WHERE doc_id <> x),
+    ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+    r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, root FROM r JOIN ways ON a = r.doc_id)
+    SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id"""
+)
+def identity_components(spark, sf):
+    """Documents are one article by an equal text or an equal opening, also
+    through others."""
+    docs = table(spark, sf, "documents")
+    opening = F.when(F.size(tx.words(F.col("text"))) >= 64, F.concat(F.lit("o:"), F.lower(F.array_join(F.slice(tx.words(F.col("text")), 1, 12), " "))))
+    return identity.components(docs, "doc_id", F.array(F.concat(F.lit("t:"), tx.fingerprint(F.col("text"))), opening))
+
+
+_STEM = """SELECT *, strftime(o_orderdate, '%Y-%m-%d') || '-' || CASE WHEN s = '' THEN 'item' ELSE s END AS stem,
+    'items/' || lower(o_orderstatus) || '/' || strftime(o_orderdate, '%Y/%m') AS folder
+  FROM (SELECT *, trim(regexp_replace(lower(o_orderpriority || ' order with a rather long title that is cut at one of its words ' || o_orderstatus), '[^a-z0-9]+', '-', 'g'), '-') AS whole,
+    CASE WHEN length(whole) <= 60 THEN whole ELSE regexp_extract(whole[1:60], '^(.*)-', 1) END AS s FROM orders)"""
+
+
+@query(
+    f"""WITH t AS ({_STEM}), n AS (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY o_orderkey) AS nth, sha1(o_orderkey::VARCHAR) AS d FROM t),
+    named AS (SELECT o_orderkey, folder, CASE WHEN nth = 1 THEN stem ELSE stem || '-' || d[1:8] END AS name FROM n)
+    SELECT o_orderkey, folder, name, 'items/' || split_part(folder, '/', 2) || '/' || name || '/' AS page,
+      'urn:item:' || sha1(folder || '/' || name) AS urn FROM named"""
+)
+def item_paths(spark, sf):
+    title = F.concat(F.col("o_orderpriority"), F.lit(" order with a rather long title that is cut at one of its words "), F.col("o_orderstatus"))
+    orders = table(spark, sf, "orders").withColumns(
+        {"stem": paths.file_stem(F.col("o_orderdate"), title), "folder": paths.item_folder(F.lower("o_orderstatus"), F.col("o_orderdate"))}
+    )
+    named = paths.unique_stems(orders, "folder", "stem", "o_orderkey", [F.asc("o_orderkey")])
+    path = F.concat_ws("/", "folder", "name")
+    return named.select("o_orderkey", "folder", "name", paths.item_page(path).alias("page"), F.concat(F.lit("urn:item:"), F.sha1(path)).alias("urn"))
+
+
+@query(
+    """SELECT event_id, (36 * 168) // (168 + date_diff('second', ts, newest) // 3600) AS bonus
+    FROM events, (SELECT max(ts) AS newest FROM events)"""
+)
+def recency_bonuses(spark, sf):
+    events = table(spark, sf, "events")
+    newest = events.agg(F.max("ts").alias("newest"))  # one row
+    return events.crossJoin(F.broadcast(newest)).select("event_id", paths.recency_bonus(F.col("newest"), F.col("ts")).alias("bonus"))

@@ -47,15 +47,16 @@ def seen_dedupe(spark, sf):
 
 
 @query(
-    """SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-15' AND s.user_id = e.user_id
-    AND s.event_type = e.event_type) AND e.ts >= TIMESTAMP '2024-01-15'"""
+    """SELECT event_id FROM events e WHERE e.ts >= TIMESTAMP '2024-01-15'
+    AND NOT EXISTS (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-15' AND s.user_id = e.user_id AND s.event_type = e.event_type AND s.props = e.props)
+    AND NOT EXISTS (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-15' AND s.user_id = e.user_id AND s.value = e.value)"""
 )
 def unseen_events(spark, sf):
     events = table(spark, sf, "events")
     middle = F.lit("2024-01-15").cast("timestamp_ntz")
-    key = F.concat_ws("|", "user_id", "event_type")
-    seen = events.where(F.col("ts") < middle).select(key.alias("key")).distinct()
-    return state.unseen(events.where(F.col("ts") >= middle), F.array(key), seen, "event_id").select("event_id")
+    keys = F.array(F.concat_ws("|", F.lit("props"), "user_id", "event_type", "props"), F.concat_ws("|", F.lit("value"), "user_id", "value"))
+    seen = events.where(F.col("ts") < middle).select(F.explode(keys).alias("key")).distinct()
+    return state.unseen(events.where(F.col("ts") >= middle), keys, seen, "event_id").select("event_id")
 
 
 @query(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -33,3 +35,22 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+
+
+_OWN: dict[str, str] = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table in the folder all executors share, which is
+    ``spark.checkpoint.dir``; only on one machine may that be unset."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    told = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not told:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        told = _OWN.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="loomarc-")
+        _OWN[context.applicationId] = told
+    path = f"{told.rstrip('/')}/loomarc/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
