@@ -327,7 +327,21 @@ def test_toxicity(spark, none):
     got = {r.doc_id: r._toxic for r in toxicity.scored(docs, model).collect()}
     assert all(got[k] == (80 <= k < 120) for k in range(len(texts)))
     assert toxicity.scored(none.select("doc_id", "text"), model).count() == 0
-    said = toxicity.Grammar({"dimwit": toxicity.STRONG}).features("not a dimwit. he said dimwit. you dimwit. dimwit")
-    at = toxicity.EVENTS.index
-    assert [said[at(f"strong{x}")] for x in ("-negated", "-reported", "+target", "")] == [1, 1, 1, 1]
+    grammar = toxicity.Grammar(model.patterns)
+    alike = ["He said you are a dimwit", "you are not a dimwit, he said", "you are a dimwit, he said"]
+    features = np.array([grammar.features(t) for t in alike])
+    scores = model.score(features).tolist()
+    assert scores[0] < scores[1] < scores[2]
+    # A report or a negation ends with its clause, a target counts on both sides.
+    apart = np.array([grammar.features(t) for t in ("not he said. you dimwit", "so it is as was. you dimwit", "so it is it was. dimwit you")])
+    assert np.unique(apart[:, :3], axis=0).shape[0] == 1
+    threats = [grammar.features(t)[-1] for t in ("beat", "beat you", "will beat you", "will never beat you", "you will beat")]
+    assert threats == [0.25, 1.0, 3.0, 1.5, 0.5]
+    # No word of a clean text is a pattern.
+    assert {p.rstrip("*")[:3] for p in model.patterns} <= {"dim", "foo", "you"}
+    copies = spark.createDataFrame([(k, "one odd text of its own " * 3) for k in range(40)] + [(k, t) for k, t in enumerate(clean, 40)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(k, int(k < 40)) for k in range(120)], "doc_id long, toxic int")
+    assert not toxicity.train(copies, labelled).patterns
+    odd = spark.createDataFrame([(None, "you dimwit. fool", 1), (7, "x " * 300_000 + "you dimwit. you fool. " * 4, 2), (7, None, 3)], "doc_id long, text string, _score int")
+    assert [r._toxic for r in toxicity.scored(odd, model).collect()] == [True, True, False]
     assert not toxicity.train(docs, labels.limit(0)).patterns
