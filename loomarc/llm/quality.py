@@ -3,9 +3,11 @@
 Fixed cut-offs misjudge languages with longer words or sources with tables.
 Here every measure's cut-offs come from mergeable quantile sketches (KLL) per
 language and source: partial sketches form where the rows are, so a source
-with a third of all rows costs no more than another.  A group too small for
-cut-offs of its own takes its language's, and a small language the corpus's.
-The cut-offs are joined back and the rows filtered.
+with a third of all rows costs no more than another.  A group's cut-offs are
+drawn towards its language's as though it had ``prior`` rows more with those,
+and a language's towards the corpus's in the same way, so that a group of any
+size is judged by one rule.  The cut-offs are joined back and the rows
+filtered.
 
 Only built-in functions run here.
 """
@@ -39,14 +41,14 @@ class QualityRules:
     ``upper`` quantile plus ``reach`` times the distance from the median to
     that quantile.  Where most texts are alike that distance is nothing, so it
     is at least what one incident makes in the group's median text.
-    ``small``: rows from which a group has cut-offs of its own.
+    ``prior``: rows that the wider group's cut-offs count for.
     """
 
     least_words: int = 10
     repeat_percent: int = 20
     upper: float = 0.75
     reach: float = 4.0
-    small: int = 200
+    prior: int = 200
 
 
 def _words(text: Column) -> Column:
@@ -150,19 +152,25 @@ def quality_decisions(docs: DataFrame, rules: QualityRules = QualityRules()) ->
     )
     counts = staged(counts, "quality")
     sound = counts.where("not base_failed").withColumn("step", 1 / n)
-    own = _thresholds(sound, ["lang", "source"], rules).where(F.col("_rows") >= rules.small)
-    language = _thresholds(sound, ["lang"], rules).where(F.col("_rows") >= rules.small)
+    own = _thresholds(sound, ["lang", "source"], rules)
+    language = _thresholds(sound, ["lang"], rules)
     corpus = _thresholds(sound, [], rules).select(*[F.col(f"max_{m}").alias(f"all_{m}") for m in MEASURES])
-    own = own.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[F.col(f"max_{m}").alias(f"own_{m}") for m in MEASURES])
-    language = language.select(F.col("lang").alias("_k"), *[F.col(f"max_{m}").alias(f"lang_{m}") for m in MEASURES])
+    own = own.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("_rows").alias("_own_rows"), *[F.col(f"max_{m}").alias(f"own_{m}") for m in MEASURES])
+    language = language.select(F.col("lang").alias("_k"), F.col("_rows").alias("_lang_rows"), *[F.col(f"max_{m}").alias(f"lang_{m}") for m in MEASURES])
     joined = (
         counts.join(own, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
         .join(language, F.col("lang").eqNullSafe(F.col("_k")), "left")
         .crossJoin(F.broadcast(corpus))
     )
+
+    def drawn(limit: Column, rows: Column, wider: Column) -> Column:
+        """A limit as the mean with the wider group's, which counts as ``prior`` rows."""
+        return F.coalesce((rows * limit + rules.prior * wider) / (rows + rules.prior), wider)
+
     passes = F.lit(True)
     for m in MEASURES:
-        limit = F.coalesce(f"own_{m}", f"lang_{m}", f"all_{m}")
+        limit = drawn(F.col(f"lang_{m}"), F.col("_lang_rows"), F.col(f"all_{m}"))
+        limit = drawn(F.col(f"own_{m}"), F.col("_own_rows"), limit)
         passes = passes & F.coalesce(F.col(m) <= limit, F.lit(True))
     return joined.select(
         "doc_id",

@@ -197,7 +197,7 @@ def test_quality_follows_each_group(spark):
     rows += [(200, says(10), "en", "prose"), (201, says(1), "en", "prose"), (202, says(10), "en", "rare"), (203, says(10), "fr", "rare")]
     rows += [(204, says(60), "en", "tables"), (205, says(60), "en", "rare"), (206, says(60), "fr", "rare")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: r for r in quality.quality_decisions(docs, quality.QualityRules(small=20)).collect()}
+    got = {r.doc_id: r for r in quality.quality_decisions(docs, quality.QualityRules(prior=20)).collect()}
     assert not any(r.base_failed for r in got.values())
     # Ten symbols in a hundred words: beyond prose, though under any fixed cut-off and usual in the language and the corpus.
     assert got[200].symbol_share <= 0.1 and not got[200].kept
