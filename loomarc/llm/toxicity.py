@@ -210,6 +210,15 @@ def _voice(words: list[str]) -> int:
     return min((zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4))), default=0)
 
 
+def _voices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        voices = [_voice([w for w in _TOKENS.findall((t or "").lower()) if w.isalpha()]) for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("toxic"), pa.array(voices, pa.int64())], ["doc_id", "toxic", "voice"]
+        )
+
+
 def _word_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's distinct words and word beginnings, with its label."""
     for batch in batches:
@@ -217,10 +226,8 @@ def _word_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             words = [w for w in _TOKENS.findall((text or "").lower()) if w.isalpha()]
             found = set(words)
             found.update([f"{w[:k]}*" for w in found for k in _PREFIXES if k <= len(w)])
-            n = len(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.string()), pa.array([toxic] * n, pa.int32()), pa.array([_voice(words)] * n, pa.int64())],
-                ["pattern", "toxic", "voice"],
+                [pa.array(list(found), pa.string()), pa.array([toxic] * len(found), pa.int32())], ["pattern", "toxic"]
             )
 
 
@@ -271,14 +278,16 @@ def train(docs: DataFrame, labels: DataFrame, rule: ToxicityTraining = ToxicityT
     )
     rows = chosen.collect()  # at most ``sample`` pairs of integers
     chosen = spark.createDataFrame(rows, "doc_id long, toxic int")
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     patterns: dict[str, int] = {}
     toxic = sum(r[1] for r in rows)
     if 0 < toxic < len(rows):
         share = toxic / len(rows)
+        voices = sample.mapInArrow(_voices, "doc_id long, toxic int, voice long").groupBy("toxic", "voice").agg(F.min("doc_id").alias("doc_id"))
+        heard = spark.createDataFrame(voices.select("doc_id").collect(), "doc_id long")  # at most ``sample`` integers
         found = (
-            sample.mapInArrow(_word_patterns, "pattern string, toxic int, voice long")
-            .distinct()
+            sample.join(F.broadcast(heard), "doc_id", "left_semi")
+            .mapInArrow(_word_patterns, "pattern string, toxic int")
             .groupBy("pattern")
             .agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"))
             .where("n > 1")
