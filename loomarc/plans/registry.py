@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import archive_queries, feed_queries, publisher_queries, search_queries, state_queries, text_queries  # noqa: F401
+    from . import archive_queries, feed_queries, publisher_queries, search_queries, state_queries, text_queries, thread_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
