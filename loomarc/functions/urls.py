@@ -43,7 +43,7 @@ def canonical_link(link: Column) -> Column:
     return F.when(link.rlike(_PARTS), whole).otherwise(link)
 
 
-CANONICAL_SQL = r"""
+CANONICAL_SQL = rf"""
   SELECT page_id, url, CASE WHEN NOT regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') THEN trim(url) ELSE
     s2 || '://' || regexp_replace(a2, '^www\.', '') ||
     CASE WHEN p IN ('', '/') THEN '/' ELSE regexp_replace(p, '/$', '') END ||
@@ -56,7 +56,7 @@ CANONICAL_SQL = r"""
       regexp_extract(trim(url), '://[^/?#]*([^?#]*)', 1) AS p,
       list_sort(list_transform(list_filter(string_split(regexp_extract(trim(url), '\?([^#]*)', 1), '&'), lambda x:
         x <> '' AND NOT starts_with(x, 'utm_') AND split_part(x, '=', 1) NOT IN
-        ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'ref_src', 'source', 'yclid', '_hsenc', '_hsmi')),
+        {TRACKING}),
         lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END)) AS q
     FROM pages))"""
 
@@ -88,13 +88,15 @@ VIDEO = ("mp4", "m4v", "webm", "mov", "ogv")
 AUDIO = ("mp3", "m4a", "ogg", "oga", "opus", "wav", "flac", "aac")
 IMAGE = ("jpg", "jpeg", "png", "gif", "webp", "avif", "svg")
 
+#: Hosts whose links are videos (fixed values).
+VIDEO_HOSTS = ("youtube.com", "m.youtube.com", "youtu.be", "vimeo.com", "twitch.tv")
+
 
 def item_type(link: Column, enclosure: Column) -> Column:
     """video, document, podcast, audio, image or article."""
     host, extension = domain(link), F.lower(F.regexp_extract(_part(F.trim(link), 3), r"\.([A-Za-z0-9]+)$", 1))
-    tube = host.isin("youtube.com", "m.youtube.com", "youtu.be", "vimeo.com", "twitch.tv")
     return (
-        F.when(tube | extension.isin(*VIDEO), "video")
+        F.when(host.isin(*VIDEO_HOSTS) | extension.isin(*VIDEO), "video")
         .when(extension == "pdf", "document")
         .when(extension.isin(*AUDIO), F.when(enclosure.isNotNull(), "podcast").otherwise("audio"))
         .when(enclosure.isNotNull(), "podcast")

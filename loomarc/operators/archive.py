@@ -44,6 +44,13 @@ def paged(items: DataFrame, order: list[Column], per_page: int, within: str) ->
     ).drop("_nth")
 
 
+def first_page(items: DataFrame, order: list[Column], per_page: int, within: str) -> DataFrame:
+    """The first ``per_page`` items of each ``within``; tasks drop the rest
+    before the shuffle."""
+    nth = F.row_number().over(Window.partitionBy(within).orderBy(*order))
+    return items.withColumn("_nth", nth).where(F.col("_nth") <= per_page).drop("_nth")
+
+
 def taxonomy(items: DataFrame, term: Column, name: Column, date: str, position: Column) -> DataFrame:
     """slug, name (as first written), count and latest date of each term."""
     return items.select(term.alias("slug"), name.alias("_name"), F.col(date).alias("_date"), position.alias("_at")).groupBy("slug").agg(

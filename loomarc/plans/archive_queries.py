@@ -139,7 +139,7 @@ def evicted_orders(spark, sf):
 )
 def home_window(spark, sf):
     orders = table(spark, sf, "orders").where(F.col("o_orderdate") >= F.lit("1996-06-01").cast("timestamp_ntz"))
-    return archive.paged(orders, [F.desc("o_orderdate"), F.desc("o_orderkey")], 3, "o_custkey").where("page = 1").select("o_custkey", "o_orderkey")
+    return archive.first_page(orders, [F.desc("o_orderdate"), F.desc("o_orderkey")], 3, "o_custkey").select("o_custkey", "o_orderkey")
 
 
 def _taxonomy_sql(name: str) -> str:
@@ -191,10 +191,8 @@ def neighbours(spark, sf):
     return out.select("o_orderkey", "previous", "next")
 
 
-_FEATURES = """WITH p AS (SELECT p_partkey, list_distinct(['label:' || p_brand, 'category:' || p_type] ||
-  list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN (
-  'about','after','again','against','also','and','are','but','for','from','has','have','how','into','its','not','of','on','our','that','the','their',
-  'this','through','to','using','was','what','when','where','which','with','you','your')), lambda t: 'title:' || t)) AS fs FROM part),
+_FEATURES = f"""WITH p AS (SELECT p_partkey, list_distinct(['label:' || p_brand, 'category:' || p_type] ||
+  list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN {tx.STOPWORDS}), lambda t: 'title:' || t)) AS fs FROM part),
 e AS (SELECT p_partkey, unnest(fs) AS feature FROM p),
 w AS (SELECT feature, count(*) AS frequency, CASE WHEN starts_with(feature, 'label:') THEN 100 WHEN starts_with(feature, 'category:') THEN 40
   ELSE 8 + least(48, (SELECT count(*) FROM part) * 20 // count(*)) END AS weight FROM e GROUP BY feature)"""
