@@ -11,6 +11,7 @@ from . import (
     jaccard_join,
     license_scan,
     mixing,
+    periodic_runs,
     quality,
     secret_scan,
     suffix_tree,
@@ -84,6 +85,34 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(with_table(spark, sf_dir, "documents"), with_table(spark, sf_dir, "benchmark"))
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents whose id hashes to a multiple of ten repeat a part of their
+    words: of n words, word i >= a becomes word a + (i - a) % p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    docs = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
+    docs = docs.withColumn("a", F.when(F.size("w") > 0, F.col("g") % F.size("w")))
+    docs = docs.withColumn("p", (1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8))))
+    places = F.sequence(F.lit(0).cast("long"), F.size("w").cast("long") - 1)
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    planted = F.array_join(F.transform(places, lambda i: F.get("w", source(i))), " ")
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_with_planted_runs(with_table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.col("most_repeated")
+    return found.select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     found = (
         op1_toxicity,
@@ -96,6 +125,7 @@ def queries() -> dict:
         op8_suffix_tree,
         op9_quality_rules,
         op10_decontamination,
+        op12_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
