@@ -18,6 +18,7 @@ from . import (
     token_files,
     token_transducer,
     toxicity,
+    vector_codes,
 )
 from .common import id_fold, scratch_path, with_table
 
@@ -85,6 +86,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(with_table(spark, sf_dir, "documents"), with_table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vector_codes.compress(with_table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_errors(coded).select(
+        "row.vec_id",
+        F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(vector_codes.codebooks_digest(codebooks)).alias("codebooks_sha256"),
+    )
+
+
 def _with_planted_runs(docs: DataFrame) -> DataFrame:
     """Documents whose id hashes to a multiple of ten repeat a part of their
     words: of n words, word i >= a becomes word a + (i - a) % p."""
@@ -125,6 +137,7 @@ def queries() -> dict:
         op8_suffix_tree,
         op9_quality_rules,
         op10_decontamination,
+        op11_vector_codes,
         op12_periodic_runs,
     )
     return {f.__name__: f for f in found}
@@ -164,5 +177,37 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coale
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
+_SQUARE = " + ".join(f"(x[{i}] - c[{i}]) * (x[{i}] - c[{i}])" for i in range(1, 5))
+_MEANS = ", ".join(f"floor(sum(x[{i}])::DOUBLE / count(*))::BIGINT" for i in range(1, 5))
+
+
+def _nearest(book: str) -> str:
+    return f"SELECT vec_id, p, any_value(x) AS x, min({{'d': {_SQUARE}, 'e': e}}) AS best FROM parts JOIN {book} USING (p) GROUP BY vec_id, p"
+
+
+def _updated(book: str, near: str) -> str:
+    return f"""SELECT p, e, coalesce(m, c) AS c FROM {book} LEFT JOIN
+  (SELECT p, best.e AS e, [{_MEANS}] AS m FROM {near} GROUP BY ALL) USING (p, e)"""
+
+
+_OP11 = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, v[4 * p + 1:4 * p + 4] AS x FROM kept, range(16) t(p)),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64),
+book0 AS MATERIALIZED (SELECT p, e, x AS c FROM parts JOIN seeds USING (vec_id)),
+near0 AS MATERIALIZED ({_nearest("book0")}),
+book1 AS MATERIALIZED ({_updated("book0", "near0")}),
+near1 AS MATERIALIZED ({_nearest("book1")}),
+book2 AS MATERIALIZED ({_updated("book1", "near1")}),
+near2 AS MATERIALIZED ({_nearest("book2")}),
+coded AS (
+  SELECT vec_id, string_agg(lpad(lower(to_hex(best.e)), 2, '0'), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near2 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), books"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.oracle(), "op4_jaccard_join": _OP4, "op10_decontamination": _OP10}
+    return {"op3_license_scan": license_scan.oracle(), "op4_jaccard_join": _OP4, "op10_decontamination": _OP10, "op11_vector_codes": _OP11}
