@@ -10,6 +10,7 @@ from . import (
     decontaminate,
     jaccard_join,
     license_scan,
+    minmax_dedup,
     mixing,
     periodic_runs,
     quality,
@@ -125,6 +126,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicate_groups(with_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = (
         op1_toxicity,
@@ -139,6 +144,7 @@ def queries() -> dict:
         op10_decontamination,
         op11_vector_codes,
         op12_periodic_runs,
+        op13_minmax_dedup,
     )
     return {f.__name__: f for f in found}
 
@@ -161,6 +167,8 @@ low AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(least(low.r, s.doc_id), s.doc_id)::BIGINT AS component_id
 FROM sets s LEFT JOIN low USING (doc_id)"""
 
+_OP13 = f"SELECT *, doc_id = component_id AS kept FROM ({_OP4.replace('>= 75 *', '>= 85 *')})"
+
 _OP10 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -210,4 +218,4 @@ FROM coded JOIN kept USING (vec_id), books"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.oracle(), "op4_jaccard_join": _OP4, "op10_decontamination": _OP10, "op11_vector_codes": _OP11}
+    return {"op3_license_scan": license_scan.oracle(), "op4_jaccard_join": _OP4, "op10_decontamination": _OP10, "op11_vector_codes": _OP11, "op13_minmax_dedup": _OP13}
