@@ -120,8 +120,8 @@ def _survey(rule: MinMaxDedup):
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
-    """A bit for each token, in a power of two of at least four times as many."""
-    bits = np.zeros(1 << max(6, (4 * len(tokens) - 1).bit_length()), bool)
+    """A bit for each token, in a power of two of at least eight times as many."""
+    bits = np.zeros(1 << max(6, (8 * len(tokens) - 1).bit_length()), bool)
     bits[(tokens & np.uint64(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
@@ -173,40 +173,44 @@ def possible_pairs(rule: MinMaxDedup, left: list, right: list | None) -> Iterato
 
 
 def _compared(rule: MinMaxDedup):
-    """The possible pairs of each cell; rows come sorted by cell."""
+    """The possible pairs of each cell; rows come sorted by cell.  A pair that
+    shares several buckets is told in the least of them only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple[int, int]]:
-            cell, sides = None, ([], [])
+            cell, sides, keys = None, ([], []), {}
 
             def ended() -> Iterator[tuple[int, int]]:
                 if cell is not None:
                     same = cell[1] == cell[2]
                     if sides[0] and (same or sides[1]):
-                        yield from possible_pairs(rule, sides[0], None if same else sides[1])
+                        for a, b in possible_pairs(rule, sides[0], None if same else sides[1]):
+                            if min(keys[a] & keys[b]) == cell[0]:
+                                yield a, b
 
             for batch in batches:
-                columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "block", "set_id", "size", "root", "tokens")]
-                for key, i, j, block, *member in zip(*columns, strict=True):
+                columns = [batch.column(c).to_pylist() for c in ("keys", "key", "i", "j", "block", "set_id", "size", "root", "tokens")]
+                for own, key, i, j, block, *member in zip(*columns, strict=True):
                     if cell != (key, i, j):
                         yield from ended()
-                        cell, sides = (key, i, j), ([], [])
+                        cell, sides, keys = (key, i, j), ([], []), {}
+                    keys[member[0]] = set(own)
                     sides[block != i].append(member)
             yield from ended()
 
-        found: set[tuple[int, int]] = set()
+        found: list[tuple[int, int]] = []
         for pair in pairs():
-            found.add(pair)
+            found.append(pair)
             if len(found) >= 100_000:
                 yield _pairs(found)
-                found = set()
+                found = []
         if found:
             yield _pairs(found)
 
     return run
 
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*found, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -263,12 +267,13 @@ def similar_sets(docs: DataFrame, rule: MinMaxDedup = MinMaxDedup()) -> tuple[Da
     if cells.isEmpty():
         return survey, roots
     with batch_rows(spark, 1024):
-        ids = staged(cells.select("set_id").distinct(), "ids")
-        maps = jaccard_join._wanted_sets(rule.join, docs, ids, _bitmap).dropDuplicates(["set_id"])
-        maps = staged(maps.join(broadcast_if_small(ids), "set_id"), "bitmaps")
+        # The buckets of a set: at most as many as there are bands.
+        ids = staged(cells.groupBy("set_id").agg(F.collect_set("key").alias("keys")), "ids")
+        maps = jaccard_join._wanted_sets(rule.join, docs, ids.select("set_id"), _bitmap).dropDuplicates(["set_id"])
+        maps = staged(maps.join(ids, "set_id"), "bitmaps")
     dealt = cells.join(maps, "set_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     with batch_rows(spark, 256), uncoalesced(spark):
-        pairs = staged(dealt.select("key", "i", "j", "block", "set_id", "size", "root", "tokens").mapInArrow(_compared(rule), "a long, b long").distinct(), "pairs")
+        pairs = staged(dealt.select("keys", "key", "i", "j", "block", "set_id", "size", "root", "tokens").mapInArrow(_compared(rule), "a long, b long"), "pairs")
     more = jaccard_join._checked(rule.join, docs, pairs)
     return survey, roots if more.isEmpty() else components(links.union(more))
 
