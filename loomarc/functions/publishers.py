@@ -43,14 +43,49 @@ ENTRIES = ("episode", "episodes")
 #: Platforms where a first segment of digits is a piece of content (fixed values).
 NUMBERED = ("vimeo.com",)
 
-#: First segments that a platform serves itself (fixed values).  Platforms
-#: publish long lists of these; give them as ``reserved``.
+#: First segments that a platform serves itself, as its robots.txt or source
+#: names them (fixed values); another set can be given as ``reserved``.
 RESERVED = {
+    "codeberg.org": (
+        "-", ".", "..", ".well-known", "actor", "admin", "api", "assets", "attachments", "avatar", "avatars", "captcha", "explore",
+        "favicon.ico", "forgejo-actions", "ghost", "gitea-actions", "issues", "login", "manifest.json", "metrics", "milestones",
+        "notifications", "org", "pulls", "repo", "repo-avatars", "report_abuse", "robots.txt", "sitemap.xml", "ssh_info", "swagger.v1.json",
+        "user", "v2",
+    ),
     "github.com": (
         ".git", "about", "copilot", "customer-stories", "enterprise", "features", "gist", "marketplace", "mcp", "newsroom", "pricing",
         "resources", "search", "security", "solutions",
     ),
-    "x.com": ("account", "hashtag", "i", "search", "settings"),
+    "gitlab.com": (
+        "-", ".well-known", "404.html", "422.html", "500.html", "502.html", "503.html", "admin", "api", "apple-touch-icon.png", "assets",
+        "dashboard", "deploy.html", "explore", "favicon.ico", "favicon.png", "groups", "health_check", "help", "import", "jwt", "login", "o",
+        "oauth", "profile", "projects", "public", "robots.txt", "s", "search", "sitemap", "sitemap.xml", "sitemap.xml.gz",
+        "slash-command-logo.png", "snippets", "unsubscribes", "uploads", "users", "v2",
+    ),
+    "medium.com": (
+        "@me", "_", "about", "business", "earn", "gift", "m", "me", "media", "membership", "p", "partner-program", "r", "search", "trending",
+        "verified-authors",
+    ),
+    "soundcloud.com": (
+        "accessibility-statement", "community-guidelines", "company", "discover", "download", "getstarted", "go", "imprint", "jobs", "messages",
+        "pro", "search", "settings", "sitemap", "sitemapindex", "stories", "stream", "terms-of-use", "topic", "transparency-reports", "upload",
+        "you",
+    ),
+    "twitch.tv": (
+        ".well-known", "activate", "admin", "auth", "beta", "bits-checkout", "chat", "claim", "collab", "copyright-claims", "directory",
+        "dj-signup", "download-keys", "drops", "email-unsubscribe", "embed", "extensions", "gl", "guest-star", "inventory", "login", "message",
+        "moderator", "oss-attribution", "payments", "popout", "r", "redeem", "report-appeal", "search", "settings", "signup",
+        "sportradar-widgets", "sq", "stale", "stream", "subscriptions", "user", "videos", "wallet", "wv",
+    ),
+    "vimeo.com": (
+        "_", "_global_notifications", "_next", "_rv", "about", "album", "api", "blog", "campaigns", "channels", "couchmode", "create",
+        "customers", "de", "download", "enterprise", "es", "event", "events", "features", "forgot_password", "fr", "groups", "help",
+        "integrations", "jp", "ko", "legal", "manage", "musicstore", "ondemand", "ott", "product", "pt-br", "reviews", "search", "solutions",
+        "store", "upgrade-plan", "user", "video-uploader", "vimeo-academy",
+    ),
+    "x.com": (
+        "account", "hashtag", "i", "search", "settings",
+    ),
 }
 
 

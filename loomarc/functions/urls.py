@@ -61,6 +61,35 @@ CANONICAL_SQL = rf"""
     FROM pages))"""
 
 
+def joined(base: Column, link: Column) -> Column:
+    """A link as seen from ``base``, an absolute address; null where the link
+    is null or the base is none."""
+    link = F.trim(F.regexp_replace(link, r"[\t\r\n]", ""))
+    scheme, host, path = _part(base, 1), F.concat(_part(base, 1), F.lit("://"), _part(base, 2)), _part(base, 3)
+    whole = F.regexp_extract(link, r"^([^?#]*)", 1)  # the link's path
+    after = F.substr(link, F.length(whole) + 1)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    way = F.when(whole.startswith("/"), whole).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), whole))
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    return (
+        F.when(link.isNull() | ~base.rlike(_PARTS), F.lit(None))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(whole == "", F.concat(host, F.when(path == "", "/").otherwise(path), F.when(after.startswith("?"), after).otherwise(F.concat(query, after))))
+        .otherwise(F.concat(host, _without_dots(way), after))
+    )
+
+
+def _without_dots(path: Column) -> Column:
+    """``.`` steps go, and ``..`` steps with the step before them."""
+    steps = F.slice(F.split(path, "/"), 2, 1 << 30)
+    last = F.element_at(steps, -1)
+    none = F.array().cast("array<string>")
+    pop = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    kept = F.aggregate(steps, none, lambda done, s: F.when(s == ".", done).when(s == "..", pop(done)).otherwise(F.array_append(done, s)))
+    return F.concat(F.lit("/"), F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/"))
+
+
 def domain(link: Column) -> Column:
     """Host without ``www.``; empty where the text is no link."""
     host = F.regexp_replace(F.lower(_part(F.trim(link), 2)), r"^[^@]*@|:[0-9]+$", "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import running
+
 
 def canonical(items: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first row of each key by ``order``; rows without a key all stay."""
@@ -26,11 +28,9 @@ def retention(items: DataFrame, source: str, created: str, path: str, size: str,
     rest those beyond the count; of the rest the oldest until the bytes fit.
     Zero or null switches a limit off.
     """
-    newest = Window.partitionBy(source, "_old").orderBy(F.desc(created), F.asc(path))
     old = F.coalesce(F.col(created) < cutoff, F.lit(False))
-    ranked = items.withColumn("_old", old).withColumn("_nth", F.row_number().over(newest))
+    ranked = running(items.withColumn("_old", old), [F.desc(created), F.asc(path)], {"_nth": F.lit(1), "_bytes": F.col(size)}, [source, "_old"])
     over = F.coalesce((most > 0) & (F.col("_nth") > most), F.lit(False))
-    ranked = ranked.withColumn("_bytes", F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
     heavy = F.coalesce((most_bytes > 0) & (F.col("_bytes") > most_bytes), F.lit(False))
     reason = F.when(F.col("_old"), "age").when(over, "count").when(heavy, "bytes")
     return ranked.withColumn("reason", reason).drop("_old", "_nth", "_bytes")
@@ -38,9 +38,9 @@ def retention(items: DataFrame, source: str, created: str, path: str, size: str,
 
 def paged(items: DataFrame, order: list[Column], per_page: int, within: str) -> DataFrame:
     """items with ``page`` and ``offset`` in the order of each ``within``."""
-    nth = F.row_number().over(Window.partitionBy(within).orderBy(*order)) - 1
-    return items.withColumn("_nth", nth).withColumns(
-        {"page": F.expr(f"_nth div {per_page} + 1"), "offset": (F.col("_nth") % per_page).cast("long")}
+    numbered = running(items, order, {"_nth": F.lit(1)}, [within])
+    return numbered.withColumns(
+        {"page": F.expr(f"(_nth - 1) div {per_page} + 1"), "offset": ((F.col("_nth") - 1) % per_page).cast("long")}
     ).drop("_nth")
 
 
@@ -76,11 +76,13 @@ def neighbours(items: DataFrame, order: list[Column], name: str, identity: str,
     before = F.when(changed, F.lag(name).over(window))
     turns = ~F.col(identity).eqNullSafe(F.lead(identity).over(window))
     after = F.when(turns, F.lead(name).over(window))
-    marked = items.withColumns({"_b": before, "_c": changed, "_a": after, "_t": turns})
+    marked = items.withColumns({"_b": before, "_c": changed, "_a": after, "_t": turns, "_nth": F.row_number().over(window)})
     # The value at the last change, itself perhaps null: wrapped so it counts.
     last = F.last(F.when(F.col("_c"), F.struct("_b")), ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first(F.when(F.col("_t"), F.struct("_a")), ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing))
-    return marked.withColumns({"previous": last["_b"], "next": first["_a"]}).drop("_b", "_c", "_a", "_t")
+    # Ahead is back in the reverse order: a frame that grows costs a row each.
+    back = Window.partitionBy(within).orderBy(F.desc("_nth")).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.last(F.when(F.col("_t"), F.struct("_a")), ignorenulls=True).over(back)
+    return marked.withColumns({"previous": last["_b"], "next": first["_a"]}).drop("_b", "_c", "_a", "_t", "_nth")
 
 
 def numbered(items: DataFrame, order: str) -> DataFrame:

@@ -102,12 +102,9 @@ def having_phrase(index: DataFrame, terms: list[str], name: str = "doc_id") -> D
     return votes.groupBy(name, "start").agg(F.count("*").alias("n")).where(F.col("n") == len(terms)).select(name).distinct()
 
 
-def search(docs: DataFrame, query: Query, name: str = "doc_id", date: str | None = None) -> DataFrame:
-    """Rows of docs that a query matches, by its sort where a date is given.
-
-    One field's values are alternatives, different fields all hold; only the
-    texts that pass the facets and dates are looked at for words.
-    """
+def passing(docs: DataFrame, query: Query, date: str | None = None) -> DataFrame:
+    """Rows of docs that pass a query's facets and dates.  One field's values
+    are alternatives, different fields all hold."""
     kept = docs
     for field_, values in query.facets.items():
         kept = kept.where(F.col(field_).cast("string").isin(values))
@@ -117,7 +114,17 @@ def search(docs: DataFrame, query: Query, name: str = "doc_id", date: str | None
         day = F.date_format(date, "yyyy-MM-dd")
         inside = F.lit(True) & (day >= low if low else F.lit(True)) & (day <= high if high else F.lit(True))
         kept = kept.where(~inside if negative else inside)
-    index = postings(kept, name)
+    return kept
+
+
+def search(docs: DataFrame, query: Query, name: str = "doc_id", date: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Rows of docs that a query matches, by its sort where a date is given.
+
+    ``index`` has (name, position, term) of the query's terms at least; without
+    one, the texts that pass the facets and dates are cut into terms here.
+    """
+    kept = passing(docs, query, date)
+    index = postings(kept, name) if index is None else index
     found = [having_all(index, query.words, name)] if query.words else []
     found += [having_phrase(index, p, name) for p in query.phrases]
     kept = reduce(lambda d, f: d.join(f, name, "left_semi"), found, kept)

@@ -8,6 +8,9 @@ from .. import sinks
 from ..functions import dates, urls
 from ..functions import text as tx
 from ..operators import state
+from ..session import shared_path
+from ..sinks import publish
+from ..sources import feeds
 from .registry import query, table
 
 _SITE = "https://archive.example/"
@@ -44,6 +47,44 @@ def rss_collections(spark, sf):
     return sinks.collections(docs, "source", "doc_id", [F.desc("doc_id")], entry, head, tail, _TOP)
 
 
+def _feed_files(spark, sf):
+    """A folder of RSS, Atom and JSON feeds: the newest documents of each source."""
+    docs, text, name = table(spark, sf, "documents"), F.col("text"), F.col("doc_id").cast("string")
+    link, title, summary = F.concat(F.lit(_SITE), name), tx.excerpt(text, 60), tx.excerpt(text)
+    day = F.expr("timestamp '2024-01-01 08:30:00' + make_dt_interval(int(doc_id % 366))")
+    named = lambda what: F.concat(F.lit(what), F.col("source"), F.lit("</title>"))
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom" xml:lang="en"><title>'
+    kinds = {
+        "rss": (sinks.rss_item(name, link, title, summary, day), named('<?xml version="1.0"?><rss version="2.0"><channel><title>'), F.lit("</channel></rss>"), ""),
+        "atom": (sinks.atom_entry(link, link, title, summary, day), named(atom), F.lit("</feed>"), ""),
+        "json": (sinks.json_item(name, link, title, text, F.array("lang", "source")), F.concat(F.lit('{"title":"'), F.col("source"), F.lit('","items":[')), F.lit("]}"), ","),
+    }
+    folder = shared_path(spark, "feeds")
+    for kind, (entry, head, tail, between) in kinds.items():
+        rows = sinks.collections(docs.withColumns({"_head": head, "_tail": tail}), "source", "doc_id", [F.desc("doc_id")], entry, F.first("_head"), F.first("_tail"), _TOP, between)
+        rows.select("source", F.regexp_replace("body", "[\\r\\n]", " ").alias("value")).repartition("source").write.partitionBy("source").text(f"{folder}/{kind}")
+    return folder
+
+
+_READ = "SELECT doc_id, source, lang, text, DATE '2024-01-01' + (doc_id % 366)::INT AS day FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents) WHERE r <= 20"
+_SEEN = "nullif(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '')".format
+
+
+@query(
+    f"""SELECT kind, doc_id, '{_SITE}' || doc_id AS link, coalesce({_SEEN(_sql_excerpt(60))}, 'archive.example') AS title, source AS feed,
+    CASE WHEN kind <> 'json' THEN strftime(day, '%Y-%m-%d 08:30:00') END AS published, CASE WHEN kind <> 'json' THEN {_SEEN(_sql_excerpt(240))} END AS summary,
+    CASE WHEN kind = 'json' THEN to_json([lang, source])::VARCHAR ELSE '[]' END AS labels
+    FROM ({_READ}), (SELECT unnest(['rss', 'atom', 'json']) AS kind)"""
+)
+def feed_round_trip(spark, sf):
+    """Feeds written by the sinks and read back by one reader."""
+    items = feeds.feed_items(feeds.raw_entries(spark, _feed_files(spark, sf), glob="*.txt"))
+    doc_id = F.substring_index("link", "/", -1).cast("long")
+    kind = F.regexp_extract("file", "/(rss|atom|json)/source=", 1)
+    stamp = F.date_format("published", "yyyy-MM-dd HH:mm:ss")
+    return items.select(kind.alias("kind"), doc_id.alias("doc_id"), "link", "title", F.col("feed_title").alias("feed"), stamp.alias("published"), "summary", F.to_json("labels").alias("labels"))
+
+
 @query(
     f"""SELECT doc_id, to_json({{'id': doc_id::VARCHAR, 'url': '{_SITE}' || doc_id, 'title': {_sql_excerpt(60)}, 'content_text': text, 'tags': [lang, source]}})::VARCHAR
     AS item FROM documents WHERE text IS NOT NULL"""
@@ -136,3 +177,28 @@ def relative_ages(spark, sf):
 def identity_keys(spark, sf):
     docs = table(spark, sf, "documents").where("lang is not null")
     return docs.select("doc_id", tx.identity_key(F.col("text")).alias("identity"), tx.language_tag(F.concat("lang", F.lit("_latn_ch"))).alias("tag"))
+
+
+_BUCKET = "('0x' || substr(sha1(o_orderkey::VARCHAR), 1, 8))::BIGINT % 16"
+_LINE = "to_json({'o_custkey': o_custkey, 'o_orderkey': o_orderkey, 'o_orderpriority': o_orderpriority, 'o_orderstatus': o_orderstatus})"
+
+
+@query(
+    f"""SELECT run, bucket, sha256(string_agg(row, '' ORDER BY row)) AS digest, count(*) AS rows, run = 0 OR bucket = (SELECT min({_BUCKET}) FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)) AS written
+    FROM (SELECT run, ({_BUCKET})::INT AS bucket, sha256({_LINE}::VARCHAR) AS row
+      FROM (SELECT o_custkey, o_orderkey, o_orderpriority, CASE WHEN run = 1 AND o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN 'changed' ELSE o_orderstatus END AS o_orderstatus, run FROM orders, range(2) t(run))) GROUP BY ALL"""
+)
+def published_buckets(spark, sf):
+    """Orders published twice, one row changed between, in buckets named by
+    their content: which of each version's were written."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    path = shared_path(spark, "published")
+    first = orders.agg(F.min("o_orderkey")).first()[0]
+    status = F.when(F.col("o_orderkey") == first, "changed").otherwise(F.col("o_orderstatus"))
+    publish.publish(orders, "o_orderkey", path, 16)
+    before = publish.newest(spark, path).select(F.col("digest").alias("_before"))
+    publish.publish(orders.withColumn("o_orderstatus", status), "o_orderkey", path, 16)
+    new, old = publish.newest(spark, path), publish.newest(spark, path, 1)
+    marked = new.join(before, new["digest"] == before["_before"], "left").withColumn("written", F.col("_before").isNull()).drop("_before")
+    both = old.withColumn("written", F.lit(True)).unionByName(marked)
+    return both.select(F.col("number").cast("long").alias("run"), "bucket", "digest", "rows", "written")

@@ -27,7 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import archive_queries, feed_queries, publisher_queries, search_queries, state_queries, text_queries, thread_queries  # noqa: F401
+    from . import (  # noqa: F401
+        archive_queries,
+        feed_queries,
+        page_queries,
+        publisher_queries,
+        recommend_queries,
+        scan_queries,
+        search_queries,
+        state_queries,
+        text_queries,
+        thread_queries,
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

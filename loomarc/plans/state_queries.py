@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import state
+from ..operators import lookups, state
 from .registry import query, table
 
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -78,6 +78,54 @@ def retry_backoff(spark, sf):
     return misses.withColumn("minutes", dates.retry_minutes(F.col("misses")))
 
 
+_WAIT = "CASE WHEN {0}answer IS NOT NULL THEN 86400 WHEN {0}misses = 0 THEN 0 ELSE 60 * least(30 * pow(2, least({0}misses, 20) - 1), 10080)::BIGINT END"
+_ASKED = f"NOT coalesce(e.at < r.checked_at + {_WAIT.format('r.')}, false)"
+_LOOKUPS = f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS name, epoch_ms(ts) // 1000 AS at, event_type AS kind,
+    row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // 1000, event_id) AS nth FROM events),
+  r AS (SELECT DISTINCT key, 0::BIGINT AS nth, NULL::BIGINT AS name, NULL::BIGINT AS at, false AS asked, NULL::BIGINT AS checked_at, NULL::VARCHAR AS answer, 0::BIGINT AS misses FROM e
+    UNION ALL SELECT e.key, e.nth, e.name, e.at, {_ASKED},
+      CASE WHEN {_ASKED} AND kind <> 'error' THEN e.at ELSE r.checked_at END,
+      CASE WHEN NOT ({_ASKED}) OR kind = 'error' THEN r.answer WHEN kind IN ('purchase', 'signup') THEN kind || e.name END,
+      CASE WHEN NOT ({_ASKED}) OR kind = 'error' THEN r.misses WHEN kind IN ('purchase', 'signup') THEN 0 ELSE r.misses + 1 END
+    FROM r JOIN e ON e.key = r.key AND e.nth = r.nth + 1)"""
+
+
+def _requests(spark, sf):
+    """Events as lookups of their user: purchases and signups would be found,
+    errors find the provider unavailable, others find nothing."""
+    kind = F.col("event_type")
+    found = kind.isin("purchase", "signup")
+    outcome = F.when(found, lookups.FOUND).when(kind == "error", lookups.UNAVAILABLE).otherwise(lookups.EMPTY)
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    answer = F.when(found, F.concat(kind, F.col("event_id").cast("string")))
+    return table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("name"), at.alias("at"), outcome.alias("outcome"), answer.alias("answer"))
+
+
+@query(_LOOKUPS + " SELECT key, name, at, asked, answer, misses FROM r WHERE nth > 0")
+def served_lookups(spark, sf):
+    return lookups.replayed(_requests(spark, sf))
+
+
+@query(
+    _LOOKUPS
+    + f""", c AS (SELECT key, checked_at, answer, misses, max(at) OVER () AS now FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY nth DESC) AS k FROM r WHERE nth > 0) WHERE k = 1),
+    d AS (SELECT c_custkey AS key, coalesce(misses, 0) AS misses, c_acctbal FROM customer LEFT JOIN c ON key = c_custkey
+      WHERE NOT coalesce((SELECT max(now) FROM c) < checked_at + {_WAIT.format("")}, false))
+    SELECT key, misses FROM d ORDER BY c_acctbal DESC, key LIMIT 64"""
+)
+def lookup_jobs(spark, sf):
+    """The 64 customers of the highest balance whose lookup is not fresh when
+    the last event has passed."""
+    served = lookups.replayed(_requests(spark, sf))
+    last = F.struct("at", "name")
+    changed = F.max_by("at", F.when(F.col("asked") & F.col("changes"), last))
+    served = served.join(_requests(spark, sf).select("name", (F.col("outcome") != lookups.UNAVAILABLE).alias("changes")), "name")
+    cache = served.groupBy("key").agg(F.timestamp_seconds(changed).alias("checked_at"), F.max_by("answer", last).alias("answer"), F.max_by("misses", last).alias("misses"))
+    now = served.agg(F.max("at")).first()[0] or 0
+    wanted = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), (-F.col("c_acctbal")).alias("order"))
+    return lookups.jobs(wanted, cache, ["key"], [F.col("order")], F.timestamp_seconds(F.lit(now)), 64)
+
+
 @query(
     """SELECT e.event_type AS source, count(*) AS outcomes, count(*) FILTER (value IS NOT NULL) AS ok, bool_and(e.event_type = 'error') AS all_failed
     FROM events e GROUP BY 1"""

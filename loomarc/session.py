@@ -40,10 +40,9 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 _OWN: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table in the folder all executors share, which is
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share, which is
     ``spark.checkpoint.dir``; only on one machine may that be unset."""
-    spark = df.sparkSession
     context = spark.sparkContext
     told = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not told:
@@ -51,6 +50,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         told = _OWN.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="loomarc-")
         _OWN[context.applicationId] = told
-    path = f"{told.rstrip('/')}/loomarc/{name}-{uuid.uuid4().hex}"
+    return f"{told.rstrip('/')}/loomarc/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table at a :func:`shared_path`."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,6 +22,14 @@ NAMES = {
     "https://vimeo.com/77a": "vimeo.com/77a",
     "https://fedi.example/@bob/3": "fedi.example/@bob",
     "https://fedi.example/@": "fedi.example",
+    "https://codeberg.org/user/login": "codeberg.org",
+    "https://gitlab.com/explore/groups": "gitlab.com",
+    "https://gitlab.com/group/x": "gitlab.com/group",
+    "https://medium.com/@me": "medium.com",
+    "https://medium.com/@bob/story": "medium.com/@bob",
+    "https://soundcloud.com/Discover": "soundcloud.com",
+    "https://m.twitch.tv/videos/1": "twitch.tv",
+    "https://vimeo.com/groups/x": "vimeo.com",
     "https://open.spotify.com/show/q": "spotify.com/show/q",
     "https://open.spotify.com/episode/q": "spotify.com",
     "mailto:bob@site.org": None,
