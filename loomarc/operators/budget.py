@@ -31,7 +31,7 @@ def admitted(families: DataFrame, name: str, order: list[str], parts: Column, li
     bytes; a path counts once, within a family as last named, and is paid for
     by the first family admitted that holds it.  No parts cost nothing.
     """
-    placed = running(families.select(name, *order, parts.alias("_parts")), order, {"nth": F.lit(1)})
+    placed = running(families.select(*dict.fromkeys([name, *order]), parts.alias("_parts")), order, {"nth": F.lit(1)})
     placed = written(placed.select(name, "nth", "_parts"), "families")
     each = placed.select("nth", F.posexplode("_parts").alias("at", "part")).select("nth", "at", "part.path", "part.bytes")
     each = written(each.groupBy("nth", "path").agg(F.max_by("bytes", "at").alias("bytes")), "parts")

@@ -62,14 +62,14 @@ def cut(items: DataFrame, key: list[str], order: list[str], limits: Limits) -> D
     if limits.distance:
         ends.append(_search(rows, [*key, order[0]], F.col(order[0]) + limits.distance, order[0], True, "to"))
     least = reduce(DataFrame.union, ends).groupBy("nth").agg(F.min("to").alias("to"))
-    least = least.select("nth", F.greatest(F.col("to"), F.col("nth") + 1).alias("to"))
+    least = least.where("to is not null").select("nth", F.greatest(F.col("to"), F.col("nth") + 1).alias("to"))
     if key:  # a jump ends with its key
         owns, its = rows.select("nth", F.struct(*key).alias("_key")), rows.select(F.col("nth").alias("to"), F.struct(*key).alias("_its"))
         least = least.join(owns, "nth").join(its, "to").where(F.col("_key") == F.col("_its")).select("nth", "to")
         marks = rows.groupBy(*key).agg(F.min("nth").alias("nth")).select("nth")
     else:
         marks = rows.agg(F.min("nth").alias("nth")).where("nth is not null")
-    jumps, marks = written(least.where("to is not null"), "jumps"), written(marks, "marks")
+    jumps, marks = written(least, "jumps"), written(marks, "marks")
     while True:
         known = marks.count()
         marks = written(marks.union(marks.join(jumps, "nth").select("to")).distinct(), "marks")

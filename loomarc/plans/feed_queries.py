@@ -61,7 +61,7 @@ def _feed_files(spark, sf):
     }
     folder = shared_path(spark, "feeds")
     for kind, (entry, head, tail, between) in kinds.items():
-        rows = sinks.collections(docs.withColumns({"_head": head, "_tail": tail}), "source", "doc_id", [F.desc("doc_id")], entry, F.first("_head"), F.first("_tail"), _TOP, between)
+        rows = sinks.collections(docs, "source", "doc_id", [F.desc("doc_id")], entry, head, tail, _TOP, between)
         rows.select("source", F.regexp_replace("body", "[\\r\\n]", " ").alias("value")).repartition("source").write.partitionBy("source").text(f"{folder}/{kind}")
     return folder
 

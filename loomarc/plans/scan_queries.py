@@ -32,14 +32,14 @@ def sitemap_files(spark, sf):
 
 
 @query(
-    """WITH RECURSIVE n AS (SELECT *, epoch_ms(ts) AS at, strlen(event_type || ' ' || props) + 1 AS b, row_number() OVER w AS nth,
+    """WITH RECURSIVE n AS (SELECT *, epoch_us(ts) // 1000 AS began, strlen(event_type || ' ' || props) + 1 AS b, row_number() OVER w AS nth,
       sum(strlen(event_type || ' ' || props) + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-    cuts AS (SELECT user_id, nth, 0::BIGINT AS paragraph, "at", upto, b FROM n WHERE nth = 1
-      UNION ALL SELECT user_id, nth, paragraph, at, upto, b FROM (SELECT m.user_id, m.nth, c.paragraph + 1 AS paragraph, m.at, m.upto, m.b, row_number() OVER (PARTITION BY m.user_id ORDER BY m.nth) AS k
-        FROM cuts c JOIN n m ON m.user_id = c.user_id AND m.nth > c.nth AND (m.at - c.at >= 172800000 OR m.upto - c.upto + c.b > 201)) WHERE k = 1),
-    p AS (SELECT n.event_id, n.user_id, max(paragraph) AS paragraph, min(n.at) AS at, any_value(event_type || ' ' || props) AS t, any_value(n.nth) AS nth
+    cuts AS (SELECT user_id, nth, 0::BIGINT AS paragraph, began, upto, b FROM n WHERE nth = 1
+      UNION ALL SELECT user_id, nth, paragraph, began, upto, b FROM (SELECT m.user_id, m.nth, c.paragraph + 1 AS paragraph, m.began, m.upto, m.b, row_number() OVER (PARTITION BY m.user_id ORDER BY m.nth) AS k
+        FROM cuts c JOIN n m ON m.user_id = c.user_id AND m.nth > c.nth AND (m.began - c.began >= 172800000 OR m.upto - c.upto + c.b > 201)) WHERE k = 1),
+    p AS (SELECT n.event_id, n.user_id, max(paragraph) AS paragraph, min(n.began) AS began, any_value(event_type || ' ' || props) AS t, any_value(n.nth) AS nth
       FROM n JOIN cuts c ON c.user_id = n.user_id AND c.nth <= n.nth GROUP BY n.event_id, n.user_id)
-    SELECT user_id, paragraph, min(at) AS start, count(*) AS lines, string_agg(t, ' ' ORDER BY nth) AS text FROM p GROUP BY user_id, paragraph"""
+    SELECT user_id, paragraph, min(began) AS start, count(*) AS lines, string_agg(t, ' ' ORDER BY nth) AS text FROM p GROUP BY user_id, paragraph"""
 )
 def caption_paragraphs(spark, sf):
     """Lines of each user, joined while they are within two days of the

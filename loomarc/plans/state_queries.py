@@ -79,12 +79,12 @@ def retry_backoff(spark, sf):
 
 
 _WAIT = "CASE WHEN {0}answer IS NOT NULL THEN 86400 WHEN {0}misses = 0 THEN 0 ELSE 60 * least(30 * pow(2, least({0}misses, 20) - 1), 10080)::BIGINT END"
-_ASKED = f"NOT coalesce(e.at < r.checked_at + {_WAIT.format('r.')}, false)"
-_LOOKUPS = f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS name, epoch_ms(ts) // 1000 AS at, event_type AS kind,
-    row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // 1000, event_id) AS nth FROM events),
-  r AS (SELECT DISTINCT key, 0::BIGINT AS nth, NULL::BIGINT AS name, NULL::BIGINT AS at, false AS asked, NULL::BIGINT AS checked_at, NULL::VARCHAR AS answer, 0::BIGINT AS misses FROM e
-    UNION ALL SELECT e.key, e.nth, e.name, e.at, {_ASKED},
-      CASE WHEN {_ASKED} AND kind <> 'error' THEN e.at ELSE r.checked_at END,
+_ASKED = f'NOT coalesce(e."at" < r.checked_at + {_WAIT.format("r.")}, false)'
+_LOOKUPS = f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS name, epoch_us(ts) // 1000000 AS "at", event_type AS kind,
+    row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS nth FROM events),
+  r AS (SELECT DISTINCT key, 0::BIGINT AS nth, NULL::BIGINT AS name, NULL::BIGINT AS "at", false AS asked, NULL::BIGINT AS checked_at, NULL::VARCHAR AS answer, 0::BIGINT AS misses FROM e
+    UNION ALL SELECT e.key, e.nth, e.name, e."at", {_ASKED},
+      CASE WHEN {_ASKED} AND kind <> 'error' THEN e."at" ELSE r.checked_at END,
       CASE WHEN NOT ({_ASKED}) OR kind = 'error' THEN r.answer WHEN kind IN ('purchase', 'signup') THEN kind || e.name END,
       CASE WHEN NOT ({_ASKED}) OR kind = 'error' THEN r.misses WHEN kind IN ('purchase', 'signup') THEN 0 ELSE r.misses + 1 END
     FROM r JOIN e ON e.key = r.key AND e.nth = r.nth + 1)"""
@@ -101,14 +101,14 @@ def _requests(spark, sf):
     return table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("name"), at.alias("at"), outcome.alias("outcome"), answer.alias("answer"))
 
 
-@query(_LOOKUPS + " SELECT key, name, at, asked, answer, misses FROM r WHERE nth > 0")
+@query(_LOOKUPS + ' SELECT key, name, "at", asked, answer, misses FROM r WHERE nth > 0')
 def served_lookups(spark, sf):
     return lookups.replayed(_requests(spark, sf))
 
 
 @query(
     _LOOKUPS
-    + f""", c AS (SELECT key, checked_at, answer, misses, max(at) OVER () AS now FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY nth DESC) AS k FROM r WHERE nth > 0) WHERE k = 1),
+    + f""", c AS (SELECT key, checked_at, answer, misses, max("at") OVER () AS now FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY nth DESC) AS k FROM r WHERE nth > 0) WHERE k = 1),
     d AS (SELECT c_custkey AS key, coalesce(misses, 0) AS misses, c_acctbal FROM customer LEFT JOIN c ON key = c_custkey
       WHERE NOT coalesce((SELECT max(now) FROM c) < checked_at + {_WAIT.format("")}, false))
     SELECT key, misses FROM d ORDER BY c_acctbal DESC, key LIMIT 64"""

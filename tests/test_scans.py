@@ -47,10 +47,10 @@ def groups(rows, limits):
     return found
 
 
-@pytest.mark.parametrize("limits", [Limits(rows=7), Limits(5, {"size": 60}, 40)])
+@pytest.mark.parametrize("limits", [Limits(sums={"size": 400}, distance=300), Limits(5, {"size": 60}, 40)])
 def test_cuts(many_ranges, limits):
     rng = random.Random(3)
-    rows = [(rng.choice("aaaaab"), rng.randrange(900), k, rng.randint(1, 99)) for k in range(150)] + [("c", 4, 999, 400)]
+    rows = [(rng.choice("aaaaab"), rng.randrange(900), k, rng.randint(1, 99)) for k in range(150)] + [("c", 4, 999, 400), ("c", 5, 1000, 1), ("d", 1, 1001, 9), ("d", 2, 1002, 9), ("d", 3, 1003, 9)]
     items = many_ranges.createDataFrame(rows, "key string, time long, name long, size long")
     got = {r.name: r.group for r in cuts.cut(items, ["key"], ["time", "name"], limits).collect()}
     assert got == groups(rows, limits)
