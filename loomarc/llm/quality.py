@@ -1,9 +1,13 @@
 """Quality rules whose thresholds follow each language and source.
 
 Fixed cut-offs misjudge languages with longer words or sources with tables.
-Here every measure's cut-offs come from mergeable quantile sketches (KLL) per
-language and source: partial sketches form where the rows are, so a source
-with a third of all rows costs no more than another.  A group's cut-offs are
+Here every measure's cut-offs come from mergeable quantile sketches per
+language and source: counts of rows in cells of equal relative width, with the
+largest value of each cell.  Partial counts form where the rows are, so a
+source with a third of all rows costs no more than another; sums and maxima do
+not depend on order, so any run and any partitioning gives the same cut-offs;
+and sketches of sources add up to those of languages and of the corpus, so the
+rows are read once.  A group's cut-offs are
 drawn towards its language's as though it had ``prior`` rows more with those,
 and a language's towards the corpus's in the same way, so that a group of any
 size is judged by one rule.  The cut-offs are joined back and the rows
@@ -16,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -41,7 +45,9 @@ class QualityRules:
     ``upper`` quantile plus ``reach`` times the distance from the median to
     that quantile.  Where most texts are alike that distance is nothing, so it
     is at least what one incident makes in the group's median text.
-    ``prior``: rows that the wider group's cut-offs count for.
+    ``prior``: rows that the wider group's cut-offs count for.  ``cells``:
+    cells of a sketch for each doubling of a value, so that a quantile is off
+    by one part in ``cells`` at most.
     """
 
     least_words: int = 10
@@ -49,6 +55,7 @@ class QualityRules:
     upper: float = 0.75
     reach: float = 4.0
     prior: int = 200
+    cells: int = 64
 
 
 def _words(text: Column) -> Column:
@@ -118,16 +125,30 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.drop(*[c for c in docs.columns if c.startswith("_")])
 
 
-def _thresholds(measures: DataFrame, keys: list[str], rules: QualityRules) -> DataFrame:
-    sketches = [F.kll_sketch_agg_double(F.col(m).cast("double"), 200).alias(f"_{m}") for m in (*MEASURES, "step")]
-    grouped = measures.groupBy(*keys).agg(F.count("*").alias("_rows"), *sketches)
+def _sketched(measures: DataFrame, keys: list[str], rules: QualityRules) -> DataFrame:
+    """(keys, measure, cell, n, top): sketches of every measure per group; of a
+    group at most some thousands of rows, whatever its size."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in (*MEASURES, "step")]))
+    cell = F.when(F.col("value") > 0, F.floor(F.log2("value") * rules.cells)).otherwise(F.lit(-(1 << 40)))
+    rows = measures.select(*keys, each.alias("m")).select(*keys, "m.measure", "m.value")
+    return rows.groupBy(*keys, "measure", cell.cast("long").alias("cell")).agg(F.count("*").alias("n"), F.max("value").alias("top"))
+
+
+def _merged(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    return sketches.groupBy(*keys, "measure", "cell").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+
+
+def _thresholds(sketches: DataFrame, keys: list[str], rules: QualityRules) -> DataFrame:
+    """(keys, _rows, max_ of each measure): a quantile is the largest value of
+    the cell in which its rank falls."""
+    group = Window.partitionBy(*keys, "measure")
+    ranked = sketches.withColumns({"_upto": F.sum("n").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(group)})
+    at = lambda m, q: F.min(F.when((F.col("measure") == m) & (F.col("_upto") >= F.ceil(F.col("_all") * q)), F.struct("cell", "top")))["top"]
     limits = []
     for m, incident in zip(MEASURES, INCIDENTS, strict=True):
-        high = F.kll_sketch_get_quantile_double(f"_{m}", F.lit(rules.upper))
-        mid = F.kll_sketch_get_quantile_double(f"_{m}", F.lit(0.5))
-        least = incident * F.kll_sketch_get_quantile_double("_step", F.lit(0.5))
-        limits.append((high + rules.reach * F.greatest(high - mid, least)).alias(f"max_{m}"))
-    return grouped.select(*keys, "_rows", *limits)
+        high, mid = at(m, rules.upper), at(m, 0.5)
+        limits.append((high + rules.reach * F.greatest(high - mid, incident * at("step", 0.5))).alias(f"max_{m}"))
+    return ranked.groupBy(*keys).agg(F.max("_all").alias("_rows"), *limits)
 
 
 def quality_decisions(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -152,9 +173,10 @@ def quality_decisions(docs: DataFrame, rules: QualityRules = QualityRules()) ->
     )
     counts = staged(counts, "quality")
     sound = counts.where("not base_failed").withColumn("step", 1 / n)
-    own = _thresholds(sound, ["lang", "source"], rules)
-    language = _thresholds(sound, ["lang"], rules)
-    corpus = _thresholds(sound, [], rules).select(*[F.col(f"max_{m}").alias(f"all_{m}") for m in MEASURES])
+    sketches = staged(_sketched(sound, ["lang", "source"], rules), "sketches")
+    own = _thresholds(sketches, ["lang", "source"], rules)
+    language = _thresholds(_merged(sketches, ["lang"]), ["lang"], rules)
+    corpus = _thresholds(_merged(sketches, []), [], rules).select(*[F.col(f"max_{m}").alias(f"all_{m}") for m in MEASURES])
     own = own.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("_rows").alias("_own_rows"), *[F.col(f"max_{m}").alias(f"own_{m}") for m in MEASURES])
     language = language.select(F.col("lang").alias("_k"), F.col("_rows").alias("_lang_rows"), *[F.col(f"max_{m}").alias(f"lang_{m}") for m in MEASURES])
     joined = (

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -190,6 +191,47 @@ def test_quality(docs, none):
     assert quality.quality_decisions(none).count() == 0
 
 
+def quality_by_hand(counts, rules):
+    """kept of every row, by sorted values of each group in place of sketches:
+    a quantile is the largest value of its cell."""
+    measures = lambda r: (r.n_symbols / r.n_words, r.n_dup_lines / r.n_words * 5, r.n_repeat_words / r.n_words, r.word_chars / r.n_words, 1 / r.n_words)
+    cell = lambda v: np.floor(np.log2(v) * rules.cells) if v > 0 else -np.inf
+
+    def limits(rows):
+        def at(k, q):
+            values = sorted(measures(r)[k] for r in rows)
+            own = values[int(np.ceil(len(values) * q)) - 1]
+            return max(v for v in values if cell(v) == cell(own))
+
+        return [at(k, rules.upper) + rules.reach * max(at(k, rules.upper) - at(k, 0.5), x * at(4, 0.5)) for k, x in enumerate(quality.INCIDENTS)]
+
+    sound = [r for r in counts if not r.base_failed]
+    drawn = lambda rows, wider: [(len(rows) * x + rules.prior * w) / (len(rows) + rules.prior) for x, w in zip(limits(rows), wider, strict=True)] if rows else wider
+    kept = []
+    for r in counts:
+        limit = drawn([x for x in sound if x.lang == r.lang], limits(sound))
+        limit = drawn([x for x in sound if (x.lang, x.source) == (r.lang, r.source)], limit)
+        kept.append(not r.base_failed and all(m <= x + 1e-12 for m, x in zip(measures(r), limit, strict=False)))
+    return kept
+
+
+def test_quality_is_the_same_however_rows_are_dealt(spark):
+    rng, rules = random.Random(12), quality.QualityRules(prior=15)
+    rows = []
+    for k in range(240):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(8, 60))]
+        words += ["#"] * rng.choice((0, 0, 0, 1, 3, 20)) + words[: rng.choice((0, 0, 6))]
+        rows.append((k, "\n".join([" ".join(words), *["again"] * rng.choice((0, 0, 2, 5))]), rng.choice(("en", "de", None)), rng.choice(("a", "b", "c"))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    runs = [sorted(quality.quality_decisions(docs.repartition(n), rules).select("doc_id", "kept").collect()) for n in (1, 7, 7)]
+    assert runs[0] == runs[1] == runs[2]
+    groups = {k: (lang, source) for k, _, lang, source in rows}
+    counted = quality.quality_decisions(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
+    counts = [SimpleNamespace(**r.asDict(), lang=groups[r.doc_id][0], source=groups[r.doc_id][1]) for r in sorted(counted)]
+    want = quality_by_hand(counts, rules)
+    assert [r.kept for r in runs[0]] == want and 20 < sum(not x for x in want) < 220
+
+
 def test_quality_follows_each_group(spark):
     words = [chr(97 + k % 26) + chr(97 + k // 26 % 26) + "xyz"[k % 3] for k in range(100)]
     says = lambda n: " ".join(words[: 100 - n] + ["#"] * min(n, 4) + ["".join(w) for w in zip("#" * (n - 4), words, strict=False)])
