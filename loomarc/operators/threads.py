@@ -17,12 +17,15 @@ def trees(posts: DataFrame, name: str, parent: str, at: str, depth: int = DEPTH)
     a root, and posts on a cycle reach none and go.  ``at`` is a number from 0
     that differs between siblings: ``path`` holds those of all steps from the
     root, so rows by root and path are in pre-order.  Each round joins every
-    post with the post it has climbed to, which doubles what is climbed, so
-    rounds are the logarithm of ``depth`` and no thread or parent is one task.
+    post that has not reached its root with the post it has climbed to, which
+    doubles what is climbed, so rounds are the logarithm of ``depth`` and no
+    thread is one task.  Answers to one post meet it in one task unless
+    adaptive execution splits them.
     """
     links = posts.select(F.col(name).alias("name"), F.col(parent).alias("up"), F.lpad(F.col(at).cast("string"), 20, "0").alias("step"))
-    present = posts.select(F.col(name).alias("up"), F.lit(True).alias("there"))
-    links = links.join(present, "up", "left").withColumn("up", F.when(F.col("there"), F.col("up")))
+    present = posts.select(F.col(name).alias("up"))
+    answers = links.where(F.col("up").isNotNull()).join(present, "up", "left_semi").select("name", "up", "step")
+    links = links.join(answers.select("name"), "name", "left_anti").select("name", F.lit(None).cast(links.schema["up"].dataType).alias("up"), "step").union(answers)
     below = F.col("up").isNotNull()
     rows = links.select(
         "name",
@@ -31,21 +34,25 @@ def trees(posts: DataFrame, name: str, parent: str, at: str, depth: int = DEPTH)
         below.cast("int").alias("depth"),
         F.when(below, F.concat(F.lit("/"), "step")).otherwise("").alias("path"),
     )
+    climbing = F.col("up").isNotNull()
     for _ in range(depth.bit_length()):
         rows = written(rows, "threads")
         above = rows.select(F.col("name").alias("up"), *(F.col(c).alias(f"up_{c}") for c in ("up", "root", "depth", "path")))
-        rows = rows.join(above, "up", "left").select(
+        # Those that have reached their root stay where they are.
+        climbed = rows.where(climbing).join(above, "up").select(
             "name",
             F.col("up_up").alias("up"),
-            F.coalesce("up_root", "root").alias("root"),
-            (F.col("depth") + F.coalesce("up_depth", F.lit(0))).alias("depth"),
-            F.concat(F.coalesce("up_path", F.lit("")), "path").alias("path"),
+            F.col("up_root").alias("root"),
+            (F.col("depth") + F.col("up_depth")).alias("depth"),
+            F.concat("up_path", "path").alias("path"),
         )
+        rows = rows.where(~climbing).select("name", "up", "root", "depth", "path").union(climbed)
     return rows.where(F.col("up").isNull() & (F.col("depth") <= depth)).select(F.col("name").alias(name), "root", "depth", "path")
 
 
 def self_replies(posts: DataFrame, name: str, parent: str, author: str, at: str, depth: int = DEPTH, most: int = POSTS) -> DataFrame:
-    """(name, root, depth, nth): threads of posts that answer their own author.
+    """(name, root, depth, nth): threads of two or more posts that answer their
+    own author.
 
     From each thread's first post down, nearest replies first, at most
     ``most`` posts; ``nth`` counts them from 0 in pre-order.  A post without
@@ -56,5 +63,6 @@ def self_replies(posts: DataFrame, name: str, parent: str, author: str, at: str,
     found = trees(own, name, "_up", at, depth)
     nearest = Window.partitionBy("root").orderBy("depth", "path")
     kept = found.withColumn("_near", F.row_number().over(nearest)).where(F.col("_near") <= most)
-    nth = F.row_number().over(Window.partitionBy("root").orderBy("path")) - 1
-    return kept.withColumn("nth", nth).select(name, "root", "depth", "nth")
+    thread = Window.partitionBy("root")
+    kept = kept.withColumns({"nth": F.row_number().over(thread.orderBy("path")) - 1, "_posts": F.count("*").over(thread)})
+    return kept.where("_posts > 1").select(name, "root", "depth", "nth")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import lookups, state
+from ..operators import ingest, lookups, state
 from .registry import query, table
 
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -169,3 +169,20 @@ def outcome_windows(spark, sf):
 
     counts = outcome_counts(table(spark, sf, "events"), "user_id", "event_type = 'error'")
     return counts.select("user_id", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "outcomes", "failures")
+
+
+@query()
+def ingest_plan(spark, sf):
+    """Events of the second half of the time as entries of their user's feed:
+    those before were seen, signups among them are archived, errors evicted."""
+    events = table(spark, sf, "events").withColumn("source", F.col("user_id").cast("string"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    middle = first + (last - first) / 2 if first else None
+    keys = F.array(F.concat(F.lit("id:"), F.col("event_id") % 5000), F.concat_ws(":", F.lit("props"), "event_type", "props"))
+    entries = events.select("event_id", "source", "ts", "event_type", F.concat_ws("-", "event_type", "props", F.col("event_id") % 40).alias("link"), keys.alias("keys"))
+    old = entries.where(F.col("ts") < F.lit(middle)).withColumn("key", F.explode("keys"))
+    existing = old.where("event_type = 'signup'").groupBy("source", "key").agg(F.concat(F.lit("items/"), F.min("event_id")).alias("path"))
+    evicted = old.where("event_type = 'error'").select("source", "key").distinct()
+    links = old.where("event_type = 'purchase'").select("link")
+    made = ingest.plan(entries.where(F.col("ts") >= F.lit(middle)), old.select("source", "key").distinct(), existing, evicted, links, "event_id", "source", "ts")
+    return made.select("event_id", "action", "path")

@@ -96,4 +96,4 @@ def test_stream_appends_whole_batches(spark, tmp_path):
 
 def test_every_query_has_sql():
     # SQL has no form for choices that depend on choices; they are tested against going row by row.
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"recommendations", "admitted_pictures"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"recommendations", "admitted_pictures", "ingest_plan"}
