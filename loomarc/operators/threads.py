@@ -50,9 +50,9 @@ def trees(posts: DataFrame, name: str, parent: str, at: str, depth: int = DEPTH)
     return rows.where(F.col("up").isNull() & (F.col("depth") <= depth)).select(F.col("name").alias(name), "root", "depth", "path")
 
 
-def self_replies(posts: DataFrame, name: str, parent: str, author: str, at: str, depth: int = DEPTH, most: int = POSTS) -> DataFrame:
-    """(name, root, depth, nth): threads of two or more posts that answer their
-    own author.
+def self_replies(posts: DataFrame, name: str, parent: str, author: str, at: str, depth: int = DEPTH, most: int = POSTS, least: int = 2) -> DataFrame:
+    """(name, root, depth, nth): threads of ``least`` or more posts that answer
+    their own author.
 
     From each thread's first post down, nearest replies first, at most
     ``most`` posts; ``nth`` counts them from 0 in pre-order.  A post without
@@ -65,4 +65,4 @@ def self_replies(posts: DataFrame, name: str, parent: str, author: str, at: str,
     kept = found.withColumn("_near", F.row_number().over(nearest)).where(F.col("_near") <= most)
     thread = Window.partitionBy("root")
     kept = kept.withColumns({"nth": F.row_number().over(thread.orderBy("path")) - 1, "_posts": F.count("*").over(thread)})
-    return kept.where("_posts > 1").select(name, "root", "depth", "nth")
+    return kept.where(F.col("_posts") >= least).select(name, "root", "depth", "nth")

@@ -33,8 +33,7 @@ def thread_trees(spark, sf):
     t AS (SELECT post, post AS root, 0 AS depth, '' AS path FROM own WHERE up IS NULL
       UNION ALL SELECT p.post, t.root, t.depth + 1, t.path || '/' || lpad(p.turn::VARCHAR, 20, '0') FROM t JOIN own p ON p.up = t.post)
     SELECT post, root, depth, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS nth FROM (SELECT *,
-      row_number() OVER (PARTITION BY root ORDER BY depth, path) AS near FROM t WHERE depth <= {threads.DEPTH}) WHERE near <= {threads.POSTS}
-    QUALIFY count(*) OVER (PARTITION BY root) > 1"""
+      row_number() OVER (PARTITION BY root ORDER BY depth, path) AS near FROM t WHERE depth <= {threads.DEPTH}) WHERE near <= {threads.POSTS}"""
 )
 def self_threads(spark, sf):
-    return threads.self_replies(_posts(spark, sf), "post", "parent", "role", "turn")
+    return threads.self_replies(_posts(spark, sf), "post", "parent", "role", "turn", least=1)

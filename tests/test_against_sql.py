@@ -3,6 +3,7 @@
 import datetime
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__
 
@@ -30,3 +31,11 @@ def test_caption_paragraphs_at_the_limit(spark, tmp_path):
     got, told = both(spark, tmp_path, "caption_paragraphs", events=events)
     assert got == told
     assert [(r[0], r[3]) for r in got] == [(1, 2), (2, 1), (2, 1), (3, 2)] and got[-1][4] == "a first a second"
+
+
+def test_self_threads_of_one_post(spark, tmp_path):
+    rows = [(1, 0, "a"), (1, 1, "a"), (1, 2, "b"), (2, 0, "a"), (3, 0, None), (3, 1, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string").withColumn("text", F.lit(""))
+    got, told = both(spark, tmp_path, "self_threads", conversations=turns)
+    assert got == told
+    assert [r[0] for r in got] == ["1:0", "1:1", "1:2", "2:0", "3:0", "3:1"]
