@@ -86,14 +86,5 @@ def neighbours(items: DataFrame, order: list[Column], name: str, identity: str,
 
 
 def numbered(items: DataFrame, order: str) -> DataFrame:
-    """items with ``nth`` from 0 in one order over all rows.
-
-    Rows are dealt by range and numbered within their partition; only a row
-    for each partition is summed in one place.
-    """
-    parts = items.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    local = parts.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
-    return local.join(bases, "_part").withColumn("nth", F.col("_base") + F.col("_local")).drop("_part", "_local", "_base")
+    """items with ``nth`` from 0 in one order over all rows."""
+    return running(items, [order], {"nth": F.lit(1)}).withColumn("nth", F.col("nth") - 1)

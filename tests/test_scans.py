@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomarc.operators import budget, cuts, scans
+from loomarc.operators import archive, budget, cuts, scans
 from loomarc.operators.cuts import Limits
 
 
@@ -100,3 +100,14 @@ def test_families_that_share_parts(many_ranges):
     found, _ = budget.admitted(frame, "name", ["at"], F.col("parts"), 10)
     assert {r.name: r.cost for r in found.collect()} == {"a": 8, "b": 2, "c": None, "d": 0}
     assert budget.admitted(frame.limit(0), "name", ["at"], F.col("parts"), 10)[0].count() == 0
+
+
+def test_numbered_with_many_rows_a_range(many_ranges):
+    """Bounds of ranges are drawn from a sample, once for places and sizes."""
+    for wide in ("true", "false"):
+        many_ranges.conf.set("spark.sql.adaptive.enabled", wide)
+        items = many_ranges.range(0, 60_000, 1, 12).select(F.sha1(F.col("id").cast("string")).alias("k"), F.repeat(F.lit("x"), 200).alias("more"))
+        keyed = items.groupBy("k").agg(F.max("more").alias("more"))
+        got = archive.numbered(keyed, "k").collect()
+        assert [r.k for r in sorted(got, key=lambda r: r.nth)] == sorted(r.k for r in got)
+        assert sorted(r.nth for r in got) == list(range(60_000))
