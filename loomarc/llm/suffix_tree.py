@@ -11,8 +11,9 @@ Counting is a shuffle of each task's partial counts over the whole training
 set.  So the tree grows with the corpus: of N tokens at most ``contexts``
 times the square root of N are contexts of a length, and ``named`` times it
 contexts with a word.  That is the proven bound of what is broadcast beside
-the frequent words (1e13 tokens: 16 bytes for each of at most 5.1e7 and 8.1e8, of
-which skewed counts leave a small part).  All other words, however many, are
+the frequent words, at most ``head`` or ``named`` times the root as well (1e13
+tokens: 16 bytes for each of at most 5.1e7, 8.1e8 and 8.1e8, of which skewed
+counts leave a small part).  All other words, however many, are
 joined by a shuffle.
 """
 
@@ -32,8 +33,9 @@ from .common import staged
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """head: frequent words are those of at least 1 / head of all tokens, so
-    there are at most ``head``; contexts, named: the most contexts, and contexts
+    """head: frequent words are those of at least 1 / head of all tokens, or
+    as many as a word needs to be named, so there are at most ``head`` or
+    ``named`` times the root; it changes the cost and not the result; contexts, named: the most contexts, and contexts
     with a word, for each root of the training tokens, which the least counts
     follow from; depth: words of the longest context (1 or 2);
     gain: nats that a kept word must save, and a kept context for each word."""
@@ -223,14 +225,16 @@ def scored(docs: DataFrame, is_training: Column, rule: SuffixTree = SuffixTree()
         F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))
     ).first()
     root = Root(*map(int, told))
-    floor = max(1, -(-root.tokens // rule.head))
+    least = max(10, int(np.ceil(root.tokens**0.5 / rule.contexts)))
+    joint = max(3, int(np.ceil(root.tokens**0.5 / rule.named)))
+    # A word that a context may name or that is one is frequent, whatever
+    # ``head`` says: it only chooses who is joined by a shuffle.
+    floor = min(max(1, -(-root.tokens // rule.head)), joint, least)
     head, counts = _collected(words.where(F.col("n") >= floor), "word", "n")
     head, counts = _sorted(head.view(np.uint64), counts)
     log10 = root.model_log10(counts)
 
     model = _Model(head, counts, (none, np.zeros(0)), (none, np.zeros(0)))
-    least = max(10, int(np.ceil(root.tokens**0.5 / rule.contexts)))
-    joint = max(3, int(np.ceil(root.tokens**0.5 / rule.named)))
     candidates = np.sort(head[(counts >= least) & (head != _END)])
     totals = dict(zip(head[counts >= least].tolist(), counts[counts >= least].tolist(), strict=True))
     for length in range(1, rule.depth + 1):

@@ -359,6 +359,17 @@ def test_suffix_tree(docs, none):
     assert suffix_tree.scored(docs, F.lit(False), rule).count() == len(ROWS)
 
 
+def test_suffix_tree_whatever_is_frequent(spark):
+    """Words joined by a shuffle are named by contexts like others."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(("new york", "old town", "a", "of the", "x%d" % rng.randrange(300))) for _ in range(60)) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every, few = ({r.doc_id: r for r in suffix_tree.scored(docs, F.col("doc_id") % 7 != 2, suffix_tree.SuffixTree(head=head)).collect()} for head in (2_000_000, 4))
+    for k, r in every.items():
+        assert (few[k].n_tokens, few[k].n_known) == (r.n_tokens, r.n_known)
+        assert few[k].score == pytest.approx(r.score, rel=1e-9) and few[k].base_score == pytest.approx(r.base_score, rel=1e-9)
+
+
 def test_toxicity(spark, none):
     rng = random.Random(2)
     clean = [" ".join(rng.choice("abcdefg") * 4 for _ in range(30)) for _ in range(80)]
