@@ -14,6 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from . import worker
+
 #: Bytes of text handled at a time.
 SLICE_BYTES = 500_000
 
@@ -87,6 +89,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a text column into runs of rows: (from, to, bytes, offsets)."""
+    worker.kept("bytetext")
     raw, offs = text_buffers(column)
     n, at = len(offs) - 1, 0
     while at < n:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext
-from .common import staged, without
+from .common import batch_rows, staged, without
 
 
 @dataclass(frozen=True)
@@ -156,7 +156,8 @@ def contamination(docs: DataFrame, items: DataFrame, rule: Decontamination = Dec
     if distinct.limit(rule.broadcast_shingles + 1).count() <= rule.broadcast_shingles:
         known = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64))
         held = spark.sparkContext.broadcast(known)
-        found = staged(texts.mapInArrow(_occurrences(lengths, held), _OCCURRENCES), "occurrences")
+        with batch_rows(spark, 1024):
+            found = staged(texts.mapInArrow(_occurrences(lengths, held), _OCCURRENCES), "occurrences")
         places = _exploded(found)
     else:
         every = _exploded(texts.mapInArrow(_occurrences(lengths, None), _OCCURRENCES))

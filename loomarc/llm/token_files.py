@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import worker
 from .common import batch_rows, broadcast_if_small, staged
 
 #: Ids after which a block is closed.
@@ -247,17 +248,15 @@ class Encoder:
 TEXTS = 256
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder for each file and worker; it runs on the task's own core."""
-    if path not in _ENCODERS:
+    encoders = worker.kept("token_files")
+    if path not in encoders:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def _blocks(path: str, end_id: int | None, block_ids: int):

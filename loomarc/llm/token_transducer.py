@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
+
 # --- the splitter ---------------------------------------------------------
 
 #: Character classes: space, other white space, number, other, apostrophe,
@@ -359,7 +361,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_COUNTERS: dict[str, Counter] = {}
 #: Characters handled in step.
 STEP_CHARS = 1_000_000
 
@@ -402,9 +403,10 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _COUNTERS:
-            _COUNTERS[tokenizer] = Counter(tokenizer)
-        counter = _COUNTERS[tokenizer]
+        counters = worker.kept("token_transducer")
+        if tokenizer not in counters:
+            counters[tokenizer] = Counter(tokenizer)
+        counter = counters[tokenizer]
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             n_bytes = np.zeros(len(texts), np.int64)

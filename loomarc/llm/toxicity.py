@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
 from .common import staged
 
 #: Closed classes in the languages of the corpus.
@@ -212,6 +213,7 @@ def _voice(words: list[str]) -> int:
 
 def _voices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        worker.kept("toxicity")
         texts = batch.column("text").to_pylist()
         voices = [_voice([w for w in _TOKENS.findall((t or "").lower()) if w.isalpha()]) for t in texts]
         yield pa.RecordBatch.from_arrays(
@@ -350,6 +352,7 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker.kept("toxicity")
         grammar = Grammar(held.value.patterns)
         for part in texts:
             features = [grammar.features(t or "") for t in part]
