@@ -117,6 +117,13 @@ def passing(docs: DataFrame, query: Query, date: str | None = None) -> DataFrame
     return kept
 
 
+def in_order(rows: DataFrame, query: Query, name: str, date: str | None) -> DataFrame:
+    """Rows by a query's sort, where a date is given and it is a date's."""
+    if date and query.sort != "relevance":
+        rows = rows.orderBy(F.desc(date) if query.sort == "newest" else F.asc(date), name)
+    return rows
+
+
 def search(docs: DataFrame, query: Query, name: str = "doc_id", date: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """Rows of docs that a query matches, by its sort where a date is given.
 
@@ -129,6 +136,4 @@ def search(docs: DataFrame, query: Query, name: str = "doc_id", date: str | None
     found += [having_phrase(index, p, name) for p in query.phrases]
     kept = reduce(lambda d, f: d.join(f, name, "left_semi"), found, kept)
     kept = reduce(lambda d, t: d.join(having_phrase(index, t, name), name, "left_anti"), query.without, kept)
-    if date and query.sort != "relevance":
-        kept = kept.orderBy(F.desc(date) if query.sort == "newest" else F.asc(date), name)
-    return kept
+    return in_order(kept, query, name, date)
