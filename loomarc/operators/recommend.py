@@ -20,6 +20,7 @@ held too few copies of an article, is noticed, and all lists are made longer.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ class Recommending:
     """picks for an item, the pool of newest items and the bonus of another
     source; then what changes the cost and never the result: candidates kept
     for an item, of them copies of one article, newest items tried to fill up,
-    the frequency from which a feature is common, and how many common features
-    of an item are listed by their combinations (the others meet one by one).
+    how many items of a set of features all meet, and how many of an item's
+    most common features are taken together to tell a score it surely gets.
     """
 
     picks: int = 3
@@ -45,77 +46,126 @@ class Recommending:
     keep: int = 24
     copies: int = 4
     front: int = 64
-    common: int = 200
-    listed: int = 4
+    common: int = 32
+    listed: int = 12
 
 
 def _newest() -> list[Column]:
     return [F.desc("date"), F.asc("name")]
 
 
-def _pairs(features: DataFrame, rule: Recommending) -> DataFrame:
-    """(name, candidate) of all pairs that share a feature which one of the
-    two does not list."""
-    direct = features.where(~F.col("lists")).select("name", "feature")
-    met = direct.join(features.select(F.col("name").alias("candidate"), "feature"), "feature").where("name <> candidate").select("name", "candidate")
-    return met.union(met.select("candidate", "name")).distinct()
+def _sharing(ids: Column, weights: Column, its: Column) -> Column:
+    """The weight of the features that an item has in common with another."""
+    each = F.zip_with(ids, weights, lambda f, w: F.when(F.array_contains(its, f), w).otherwise(0))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda s, w: s + w)
 
 
-def _lists(items: DataFrame, features: DataFrame, rule: Recommending) -> DataFrame:
-    """(name, candidate) of pairs that share listed features only, as many as
-    can rank before ``keep`` others.
+def _described(items: DataFrame, rule: Recommending) -> DataFrame:
+    """name, date, source, identity, ids and weights of the features that
+    others have too, rarest first, and ``least``, a score that ``keep``
+    candidates reach: those that have the item's most common features."""
+    weighted = written(weighted_features(items.select("name", "features"), "name", F.col("features")).where("frequency > 1"), "features")
+    numbers = weighted.groupBy("feature").agg(F.first("frequency").alias("frequency")).select("feature", F.struct("frequency", "feature").alias("at"))
+    numbers = written(archive.numbered(numbers, "at").select("feature", F.col("nth").cast("int").alias("nth")), "numbers")
+    has = weighted.join(numbers, "feature").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("nth", "weight"))).alias("has"))
+    told = items.select("name", "date", "source", "identity").join(has, "name", "left")
+    arrays = {"ids": F.coalesce("has.nth", F.array().cast("array<int>")), "weights": F.coalesce("has.weight", F.array().cast("array<bigint>"))}
+    told = written(told.withColumns(arrays).drop("has"), "described")
+    last = F.explode(F.sequence(F.lit(1), F.least(F.size("ids"), F.lit(rule.listed)))).alias("last")
+    ends = told.where(F.size("ids") > 0).select("name", "identity", "ids", "weights", last)
+    end = lambda c: F.slice(c, F.size(c) - F.col("last") + 1, F.col("last"))
+    ends = ends.select("name", "identity", end("ids").alias("set"), F.aggregate(end("weights"), F.lit(0).cast("long"), lambda s, w: s + w).alias("weight"))
+    full = _counted(ends.withColumn("asks", F.lit(True)), rule).where("full").select("set")
+    least = ends.join(full, "set").groupBy("name").agg(F.max("weight").alias("least"))
+    return written(told.join(least, "name", "left").withColumn("least", F.coalesce("least", F.lit(0))), "described")
 
-    A candidate that shares the set S and no more is outranked by every newer
-    item that has S, so the newest of each S are enough.
+
+def _counted(rows: DataFrame, rule: Recommending) -> DataFrame:
+    """(set, asked, members, full) of sets: whether one of its items asks for
+    candidates, and whether it has ``keep`` for any of its items, not counting
+    more than ``copies`` of an article."""
+    each = rows.groupBy("set", "identity").agg(F.count("*").alias("n"), F.bool_or("asks").alias("asks"))
+    room = F.sum(F.least("n", F.lit(rule.copies))) >= rule.keep + rule.copies
+    return each.groupBy("set").agg(F.bool_or("asks").alias("asked"), F.sum("n").alias("members"), room.alias("full"))
+
+
+def _grown(rows: DataFrame) -> DataFrame:
+    """Each item's sets with one more of its features, commoner than those in
+    the set.  An item asks for a set's candidates where they may reach what it
+    surely gets."""
+    to = rows.where("at < size(ids)").withColumn("at", F.explode(F.sequence(F.col("at") + 1, F.size("ids"))))
+    to = to.withColumns({"set": F.concat("set", F.array(F.element_at("ids", F.col("at")))), "weight": F.col("weight") + F.element_at("weights", F.col("at"))})
+    rest = F.aggregate(F.slice("weights", F.col("at") + 1, F.size("weights")), F.lit(0).cast("long"), lambda s, w: s + w)
+    return to.withColumn("asks", F.col("weight") + rest >= F.col("least"))
+
+
+def _met(described: DataFrame, rule: Recommending) -> DataFrame:
+    """(name, candidate, score, date, identity): every pair that shares a
+    feature and may be among an item's ``keep`` best, once.
+
+    Sets of features grow from the rarest feature to the commonest, along
+    those that more than ``common`` items have.  What two items share begins
+    with one set at which growing ends: there they meet, as all its items do.
+    Or all of it is a set of many items: then the newest of them are enough,
+    as each of these shares as much as an older one that shares no more.
     """
-    chosen = features.where("lists").groupBy("name").agg(F.array_sort(F.collect_list("feature")).alias("set"), F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("weights"))
-    marks = lambda s: F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(s)) - 1)
-    part = lambda s: F.transform(marks(s), lambda m: F.filter(s, lambda f, k: F.call_function("shiftright", m, k) % 2 == 1))
-    named = chosen.join(items.select("name", "identity", "date"), "name")
-    heads = named.select("name", "identity", "date", F.explode(part(F.col("set"))).alias("part"))
-    for keys, most in ((["part", "identity"], rule.copies), (["part"], rule.keep + rule.copies)):
-        heads = heads.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*_newest()))).where(F.col("nth") <= most).drop("nth")
-    groups = chosen.groupBy("set").agg(F.first("weights").alias("weights"))
-    parts = groups.select("set", "weights", F.explode(part(F.col("set"))).alias("part"))
-    weight = F.aggregate("part", F.lit(0).cast("long"), lambda s, f: s + F.element_at("weights", f))
-    met = parts.withColumn("weight", weight).join(heads.withColumnRenamed("name", "candidate"), "part")
-    met = met.groupBy("set", "candidate").agg(F.max("weight").alias("weight"), F.first("date").alias("date"), F.first("identity").alias("identity"))
-    best = [F.desc("weight"), F.desc("date"), "candidate"]
+    empty = {"set": F.array().cast("array<int>"), "at": F.lit(0), "weight": F.lit(0).cast("long")}
+    grown = _grown(described.drop("source").withColumns(empty))
+    few, many = [], []
+    while True:
+        sets = _counted(grown, rule).where("asked and members > 1").select("set", "full", (F.col("members") > rule.common).alias("many"))
+        rows = written(grown.join(written(sets, "sets"), "set"), "sets")
+        few.append(rows.where("not many"))
+        if rows.where("many").isEmpty():
+            break
+        many.append(rows.where("many"))
+        grown = _grown(many[-1].drop("full", "many"))
+    other = lambda its: ~F.col(f"{its}.identity").eqNullSafe(F.col("identity"))
+    both = lambda its: F.array_intersect("ids", f"{its}.ids")
+    pairs = reduce(DataFrame.union, few).groupBy("set").agg(F.collect_list(F.struct("name", "date", "identity", "ids", "weights", "least", "asks")).alias("all"))
+    pairs = pairs.select("set", "all", F.explode("all").alias("one")).where("one.asks").select("set", "one.*", F.explode("all").alias("its"))
+    pairs = pairs.where(other("its") & (F.slice(both("its"), 1, F.size("set")) == F.col("set")))
+    pairs = pairs.withColumn("score", _sharing(F.col("ids"), F.col("weights"), F.col("its.ids"))).where("score >= least")
+    found = pairs.select("name", F.col("its.name").alias("candidate"), "score", "its.date", "its.identity")
+    if not many:
+        return found
+    rows = reduce(DataFrame.union, many)
+    asking = rows.where("asks and weight >= least").select("name", "identity", "ids", "set", "weight", "full")
+    least = asking.where("full").groupBy("name").agg(F.max("weight").alias("least"))
+    asking = written(asking.join(least, "name", "left").where("least is null or weight >= least"), "asking")
+    heads = rows.join(asking.select("set").distinct(), "set", "left_semi").select("set", "name", "date", "identity", "ids")
     for keys, most in ((["set", "identity"], rule.copies), (["set"], rule.keep + rule.copies)):
-        met = met.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col("nth") <= most)
-    return chosen.select("name", "set").join(met.select("set", "candidate"), "set").where("name <> candidate").select("name", "candidate")
+        heads = heads.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*_newest()))).where(F.col("nth") <= most).drop("nth")
+    heads = heads.groupBy("set").agg(F.collect_list(F.struct("name", "date", "identity", "ids")).alias("heads"))
+    first = asking.join(heads, "set").select("name", "identity", "ids", "set", "weight", F.explode("heads").alias("its"))
+    first = first.where(other("its") & (both("its") == F.col("set")))
+    return found.union(first.select("name", F.col("its.name").alias("candidate"), F.col("weight").alias("score"), "its.date", "its.identity"))
 
 
 def ranked(items: DataFrame, rule: Recommending = Recommending()) -> DataFrame:
     """(name, rank, candidate, score, identity, date) of each item's ``keep``
-    best candidates of another identity, ties newest first.
+    best candidates of another identity, ties newest first; from ``copies``
+    copies of one article on, further ones may be left out.
 
     ``items``: name (unique), date, source, identity and features, the last an
     array of ``label:``, ``category:`` and other strings.
     """
-    weighted = weighted_features(items.select("name", "features"), "name", F.col("features"))
-    size = Window.partitionBy("name").orderBy(F.desc("frequency"), "feature")
-    common = F.when(F.col("frequency") > rule.common, 1).otherwise(0)
-    weighted = weighted.withColumn("lists", (F.row_number().over(size) <= rule.listed) & (common == 1))
-    every = written(weighted.select("name", "feature", "weight", "frequency", "lists"), "features")
-    shared = every.where("frequency > 1")
-    pool = written(items.select("name", "date", "source", "identity", "features").orderBy(*_newest()).limit(rule.pool), "pool")
-    met = _pairs(shared, rule).union(_lists(items, shared, rule)).distinct()
-    met = met.join(F.broadcast(pool.select(F.col("name").alias("candidate"))), "candidate", "left_anti").select("name", "candidate")
-    met = met.union(items.select("name").crossJoin(F.broadcast(pool.select(F.col("name").alias("candidate"))))).where("name <> candidate")
-
-    maps = every.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("mine"))
-    own = items.select("name", F.col("source").alias("own_source"), F.col("identity").alias("own_identity")).join(maps, "name", "left")
-    its = items.select(F.col("name").alias("candidate"), "date", "source", "identity", F.array_distinct("features").alias("its"))
-    score = F.coalesce(F.aggregate("its", F.lit(0).cast("long"), lambda s, f: s + F.coalesce(F.try_element_at("mine", f), F.lit(0))), F.lit(0))
+    described = _described(items, rule)
+    pool = written(described.orderBy(*_newest()).limit(rule.pool), "pool")
+    met = _met(described, rule).join(F.broadcast(pool.select(F.col("name").alias("candidate"))), "candidate", "left_anti")
     newest = pool.agg(F.max("date").alias("newest"))  # one row
-    bonuses = pool.crossJoin(newest).select(F.col("name").alias("candidate"), paths.recency_bonus(F.col("newest"), F.col("date")).alias("bonus"))
-    far = F.when(F.col("source").eqNullSafe(F.col("own_source")), 0).otherwise(rule.other_source)
-    full = met.join(own, "name").join(its, "candidate").where(~F.col("identity").eqNullSafe(F.col("own_identity")))
-    full = full.join(F.broadcast(bonuses), "candidate", "left").withColumn("score", score + F.when(F.col("bonus").isNotNull(), F.col("bonus") + far).otherwise(0))
+    its = pool.crossJoin(newest).select(
+        F.col("name").alias("candidate"), "date", F.col("source").alias("its_source"), F.col("identity").alias("its_identity"),
+        F.col("ids").alias("its_ids"), paths.recency_bonus(F.col("newest"), F.col("date")).alias("bonus"),
+    )
+    far = F.when(F.col("its_source").eqNullSafe(F.col("source")), 0).otherwise(rule.other_source)
+    score = _sharing(F.col("ids"), F.col("weights"), F.col("its_ids")) + F.col("bonus") + far
+    near = described.drop("date").crossJoin(F.broadcast(its)).where(~F.col("its_identity").eqNullSafe(F.col("identity")))
+    near = near.select("name", "candidate", score.cast("long").alias("score"), "date", F.col("its_identity").alias("identity"))
+    full = met.select("name", "candidate", "score", "date", "identity").union(near)
     order = Window.partitionBy("name").orderBy(F.desc("score"), F.desc("date"), "candidate")
     full = full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rule.keep)
-    return full.select("name", "rank", "candidate", F.col("score").cast("long").alias("score"), "identity", "date")
+    return full.select("name", "rank", "candidate", "score", "identity", "date")
 
 
 def beside(items: DataFrame) -> DataFrame:

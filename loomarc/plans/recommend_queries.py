@@ -39,7 +39,7 @@ def _items(spark, sf):
       FROM u JOIN i n ON n.doc_id = name JOIN i c ON c.doc_id = candidate WHERE n.identity <> c.identity) WHERE rank <= 12"""
 )
 def ranked_candidates(spark, sf):
-    return recommend.ranked(_items(spark, sf), recommend.Recommending(keep=12)).select("name", "candidate", "score", "rank")
+    return recommend.ranked(_items(spark, sf), recommend.Recommending(keep=12, copies=12)).select("name", "candidate", "score", "rank")
 
 
 @query()

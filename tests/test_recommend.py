@@ -98,3 +98,22 @@ def test_few_items(spark):
     found, _ = recommend.recommend(spark.createDataFrame(rows, SCHEMA))
     assert sorted(map(tuple, found.collect())) == [("a", None, "c", []), ("b", None, "c", []), ("c", "b", None, [])]
     assert recommend.recommend(spark.createDataFrame([], SCHEMA))[0].count() == 0
+
+
+def test_common_features_do_not_bring_all_pairs_together(spark):
+    """All 400 items share seven features of eight, with copies among them; the
+    best are found, ten copies of one article too, without meeting all pairs."""
+    rows = [(f"n{k:03}", NEWEST - timedelta(hours=k % 90), "s", f"i{k % 40}", [f"title:{f}" for f in range(8) if f != k % 9]) for k in range(400)]
+    rule = Recommending(pool=1, keep=12, copies=12, common=20)
+    items = spark.createDataFrame(rows, SCHEMA)
+    frequency = Counter(f for r in rows for f in r[4])
+    weight = {f: 8 + min(48, 20 * len(rows) // n) for f, n in frequency.items()}
+    want = {}
+    for name, _, _, identity, features in rows:
+        scores = [(-sum(weight[f] for f in set(features) & set(r[4])) - (36 if r[0] == "n000" else 0), -r[1].timestamp(), r[0]) for r in rows if r[3] != identity]
+        want[name] = [c for *_, c in sorted(scores)[:12]]
+    got = {}
+    for r in sorted(recommend.ranked(items, rule).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.name, []).append(r.candidate)
+    assert got == want
+    assert recommend._met(recommend._described(items, rule), rule).count() < 400 * 400 / 4
