@@ -19,15 +19,20 @@ def searched(label: Column, value: Column) -> Column:
     return F.lower(F.concat_ws(" ", label, value))
 
 
-def grams(text: Column, sizes: tuple[int, ...] = (1, 2, GRAM)) -> Column:
-    """The strings of these lengths in a text, each once."""
+def grams(text: Column) -> Column:
+    """The strings of one, two and three characters in a text, each once."""
     of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array())
-    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+    return F.array_distinct(F.concat(*[of(n) for n in (1, 2, GRAM)]))
 
 
 def gram_index(facets: DataFrame) -> DataFrame:
-    """(gram, kind, value) of facets (kind, value, label)."""
-    return facets.select(F.explode(grams(searched(F.col("label"), F.col("value")))).alias("gram"), "kind", "value").distinct()
+    """(gram, kind, value) of facets (kind, value, label), each once.
+
+    The texts of a value come together before their grams are made, so no
+    task has to tell grams apart but those of one value.
+    """
+    texts = facets.groupBy("kind", "value").agg(F.collect_set(searched(F.col("label"), F.col("value"))).alias("texts"))
+    return texts.select(F.explode(F.array_distinct(F.flatten(F.transform("texts", grams)))).alias("gram"), "kind", "value")
 
 
 def holding(index: DataFrame, kind: str, fragment: str) -> DataFrame:

@@ -51,3 +51,13 @@ def test_resolved(spark):
     named = spark.createDataFrame([("s", "a"), ("s", "ONE"), ("s", "One"), ("s", "two"), ("t", "TWO"), ("t", "a"), ("s", "X")], "kind string, name string")
     got = {(r.kind, r.name): (r.value, r.problem) for r in completion.resolved(named, facets).collect()}
     assert got == {("s", "a"): ("a", None), ("s", "ONE"): ("a", None), ("s", "One"): ("One", None), ("s", "two"): (None, "ambiguous"), ("t", "TWO"): ("d", None), ("t", "a"): (None, "unknown"), ("s", "X"): ("One", None)}
+
+
+def test_grams_of_a_value_with_many_labels(spark):
+    """Each gram of a value is told once, and no step tells them apart after
+    they are made: that would hold the grams of all values in one task."""
+    facets = spark.createDataFrame([("k", "v", f"ab{k % 3}", 1) for k in range(30)] + [("k", None, None, 0)], "kind string, value string, label string, count long")
+    index = completion.gram_index(facets)
+    assert sorted(r.gram for r in index.collect()) == sorted({g for t in ("ab0 v", "ab1 v", "ab2 v") for n in (1, 2, 3) for k in range(len(t) - n + 1) for g in [t[k : k + n]]})
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") and plan.count("Aggregate") == 1
