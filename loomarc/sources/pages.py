@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,11 @@ def attribute(tag: Column, name: str) -> Column:
 
 def tags(html: Column, *names: str) -> Column:
     """The start tags of these elements, without comments and scripts."""
-    return F.regexp_extract_all(_bare(html), F.lit(rf"(?is)(<(?:{'|'.join(names)})\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)"), F.lit(1))
+    return _tags(_bare(html), *names)
+
+
+def _tags(bare: Column, *names: str) -> Column:
+    return F.regexp_extract_all(bare, F.lit(rf"(?is)(<(?:{'|'.join(names)})\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)"), F.lit(1))
 
 
 def _bare(html: Column) -> Column:
@@ -38,18 +44,28 @@ def _base(html: Column) -> Column:
     return attribute(F.get(tags(html, "base"), F.lit(0)), "href")
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is read."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def feed_links(html: Column, page: Column) -> Column:
     """Addresses of feeds: those advertised in ``link`` tags, then links whose
     last name or parameters say feed; each once, the first sixteen."""
-    base, web = F.coalesce(urls.joined(page, _base(html)), page), r"(?i)^https?://"
-    address = lambda tag: urls.joined(base, attribute(tag, "href"))
+    told = lambda bare: F.coalesce(urls.joined(page, attribute(F.get(_tags(bare, "base"), F.lit(0)), "href")), page)
+    return _once(_bare(html), lambda bare: _once(told(bare), lambda base: _feeds(bare, base)))
+
+
+def _feeds(bare: Column, base: Column) -> Column:
+    web = r"(?i)^https?://"
+    address = lambda tag: _once(attribute(tag, "href"), lambda href: urls.joined(base, href))
     kind = lambda tag: F.lower(F.trim(F.substring_index(F.coalesce(attribute(tag, "type"), F.lit("")), ";", 1)))
     rels = lambda tag: F.split(F.lower(F.coalesce(attribute(tag, "rel"), F.lit(""))), r"\s+")
-    told = F.filter(tags(html, "link"), lambda t: F.arrays_overlap(rels(t), F.array(F.lit("alternate"), F.lit("feed"))) & kind(t).isin(*FEED_TYPES))
+    told = F.filter(_tags(bare, "link"), lambda t: F.arrays_overlap(rels(t), F.array(F.lit("alternate"), F.lit("feed"))) & kind(t).isin(*FEED_TYPES))
     name = lambda u: F.lower(F.regexp_extract(u, r"^[^?#]*/([^/?#]*)", 1))
     asked = r"(?i)^[^?#]*\?(?:[^#]*&)?(?:format|output)=(?:rss|atom|feed)(?:[&#]|$)"
     looks = lambda u: name(u).isin(*FEED_NAMES) | name(u).rlike(r"\.(rss|atom)$") | u.rlike(asked)
-    found = F.concat(F.transform(told, address), F.filter(F.transform(tags(html, "a"), address), looks))
+    found = F.concat(F.transform(told, address), F.filter(F.transform(_tags(bare, "a"), address), looks))
     return F.slice(F.array_distinct(F.filter(found, lambda u: u.rlike(web))), 1, MOST_FEEDS)
 
 

@@ -50,3 +50,11 @@ def test_page_articles(spark):
     ]
     assert got[0].published.replace(tzinfo=None) == dt.datetime(2024, 3, 4, 5, 6, 7) and got[2].summary == "d"
     assert pages.page_articles(rows.limit(0), "id", "url", "html").count() == 0
+
+
+def test_feed_links_clean_a_page_once(spark):
+    """Comments and scripts are taken out of a page once, not for each link."""
+    found = spark.range(1).select(F.concat(F.lit("<base href='/x/'><a href='rss'>"), F.col("id").cast("string")).alias("html"), F.lit("https://a.b/").alias("url"))
+    plan = found.select(pages.feed_links(F.col("html"), F.col("url")).alias("f"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("<!--") == 1
+    assert plan.first().f == ["https://a.b/x/rss"]
