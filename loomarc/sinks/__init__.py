@@ -45,15 +45,16 @@ def sitemap_files(urls: DataFrame, link: str, modified: str, most_urls: int = 50
 
     A file is full at so many URLs or bytes, those around its entries
     included.  An entry too large for any file ends the job with an error;
-    links must differ.
+    links must differ.  Only the size of an entry goes through the cutting.
     """
+    entry = sitemap_entry(F.col(link), F.col(modified))
     room = most_bytes - len(SITEMAP_HEAD + SITEMAP_TAIL)
-    size = F.octet_length("entry").cast("long")
+    size = F.octet_length(entry).cast("long")
     fits = F.when(size <= room, size).otherwise(F.raise_error(F.concat(F.lit("sitemap entry too large: "), F.col(link))).cast("long"))
-    rows = urls.withColumn("entry", sitemap_entry(F.col(link), F.col(modified))).withColumn("_bytes", fits)
+    rows = urls.withColumn("_bytes", fits)
     rows = written(cuts.cut(rows, [], [link], cuts.Limits(most_urls, {"_bytes": room})).withColumn("file", F.col("group") + 1).drop("group"), "sitemap")
     files = rows.groupBy("file").agg(F.count("*").alias("urls"), (F.sum("_bytes") + most_bytes - room).alias("bytes"), F.max(modified).alias("lastmod"))
-    return rows.drop("_bytes").join(files, "file")
+    return rows.withColumn("entry", entry).drop("_bytes").join(files, "file")
 
 
 def json_item(identifier: Column, link: Column, title: Column, body: Column, tags: Column) -> Column:

@@ -111,3 +111,16 @@ def test_numbered_with_many_rows_a_range(many_ranges):
         got = archive.numbered(keyed, "k").collect()
         assert [r.k for r in sorted(got, key=lambda r: r.nth)] == sorted(r.k for r in got)
         assert sorted(r.nth for r in got) == list(range(60_000))
+
+
+def test_sitemap_entries_are_not_stored_while_files_are_cut(spark):
+    from loomarc import sinks
+
+    urls = spark.createDataFrame([(f"https://a.b/{k:02}", f"2024-01-{k + 1:02}") for k in range(20)], "loc string, day string").selectExpr("loc", "timestamp(day) as modified")
+    found = sinks.sitemap_files(urls, "loc", "modified", 8)
+    assert all("entry" not in spark.read.parquet(f).columns for f in found.inputFiles())
+    rows = found.collect()
+    assert sorted({(r.file, r.urls) for r in rows}) == [(1, 8), (2, 8), (3, 4)]
+    for n in (1, 2, 3):
+        inside = sum(len(r.entry) for r in rows if r.file == n)
+        assert {r.bytes for r in rows if r.file == n} == {inside + len(sinks.SITEMAP_HEAD + sinks.SITEMAP_TAIL)}
