@@ -11,10 +11,11 @@ sources first, and at last those which have taken this one.
 Only the last rule depends on what others take, and only on newer ones, so
 there is one solution.  All items choose side by side, again and again, each
 seeing what was chosen the round before, until no choice changes: that is the
-solution, after as many rounds as the longest chain of such dependences.
+solution, after as many rounds as the longest chain of such dependences.  After
+the first round only those choose again that are refused by others than before.
 
 Candidates are bounded lists.  A list that may have been too short, or that
-held too few copies of an article, is noticed, and all lists are made longer.
+held too few copies of an article, is noticed, and such lists are made longer.
 """
 
 from __future__ import annotations
@@ -60,24 +61,44 @@ def _sharing(ids: Column, weights: Column, its: Column) -> Column:
     return F.aggregate(each, F.lit(0).cast("long"), lambda s, w: s + w)
 
 
-def _described(items: DataFrame, rule: Recommending) -> DataFrame:
+#: More than any score: what an item surely gets that asks for no candidates.
+_NEVER = 1 << 62
+
+
+def _featured(items: DataFrame) -> DataFrame:
     """name, date, source, identity, ids and weights of the features that
-    others have too, rarest first, and ``least``, a score that ``keep``
-    candidates reach: those that have the item's most common features."""
+    others have too, rarest first."""
     weighted = written(weighted_features(items.select("name", "features"), "name", F.col("features")).where("frequency > 1"), "features")
     numbers = weighted.groupBy("feature").agg(F.first("frequency").alias("frequency")).select("feature", F.struct("frequency", "feature").alias("at"))
     numbers = written(archive.numbered(numbers, "at").select("feature", F.col("nth").cast("int").alias("nth")), "numbers")
     has = weighted.join(numbers, "feature").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("nth", "weight"))).alias("has"))
     told = items.select("name", "date", "source", "identity").join(has, "name", "left")
     arrays = {"ids": F.coalesce("has.nth", F.array().cast("array<int>")), "weights": F.coalesce("has.weight", F.array().cast("array<bigint>"))}
-    told = written(told.withColumns(arrays).drop("has"), "described")
+    return written(told.withColumns(arrays).drop("has"), "described")
+
+
+def _described(items: DataFrame, rule: Recommending) -> DataFrame:
+    return _reaching(_featured(items), rule)
+
+
+def _reaching(told: DataFrame, rule: Recommending, asking: DataFrame | None = None) -> DataFrame:
+    """Featured items with ``least``, a score that ``keep`` candidates reach:
+    those that have the item's most common features.  Where there is a table
+    ``asking`` of names, others ask for no candidates."""
     last = F.explode(F.sequence(F.lit(1), F.least(F.size("ids"), F.lit(rule.listed)))).alias("last")
     ends = told.where(F.size("ids") > 0).select("name", "identity", "ids", "weights", last)
     end = lambda c: F.slice(c, F.size(c) - F.col("last") + 1, F.col("last"))
     ends = ends.select("name", "identity", end("ids").alias("set"), F.aggregate(end("weights"), F.lit(0).cast("long"), lambda s, w: s + w).alias("weight"))
+    its = ends if asking is None else ends.join(asking, "name", "left_semi")
+    if asking is not None:
+        ends = ends.join(its.select("set").distinct(), "set", "left_semi")
     full = _counted(ends.withColumn("asks", F.lit(True)), rule).where("full").select("set")
-    least = ends.join(full, "set").groupBy("name").agg(F.max("weight").alias("least"))
-    return written(told.join(least, "name", "left").withColumn("least", F.coalesce("least", F.lit(0))), "described")
+    least = its.join(full, "set").groupBy("name").agg(F.max("weight").alias("least"))
+    told = told.join(least, "name", "left").withColumn("least", F.coalesce("least", F.lit(0).cast("long")))
+    if asking is not None:
+        told = told.join(asking.withColumn("asks", F.lit(True)), "name", "left")
+        told = told.withColumn("least", F.when(F.col("asks"), F.col("least")).otherwise(_NEVER)).drop("asks")
+    return written(told, "described")
 
 
 def _counted(rows: DataFrame, rule: Recommending) -> DataFrame:
@@ -150,7 +171,10 @@ def ranked(items: DataFrame, rule: Recommending = Recommending()) -> DataFrame:
     ``items``: name (unique), date, source, identity and features, the last an
     array of ``label:``, ``category:`` and other strings.
     """
-    described = _described(items, rule)
+    return _ranked(_described(items, rule), rule)
+
+
+def _ranked(described: DataFrame, rule: Recommending) -> DataFrame:
     pool = written(described.orderBy(*_newest()).limit(rule.pool), "pool")
     met = _met(described, rule).join(F.broadcast(pool.select(F.col("name").alias("candidate"))), "candidate", "left_anti")
     newest = pool.agg(F.max("date").alias("newest"))  # one row
@@ -160,7 +184,7 @@ def ranked(items: DataFrame, rule: Recommending = Recommending()) -> DataFrame:
     )
     far = F.when(F.col("its_source").eqNullSafe(F.col("source")), 0).otherwise(rule.other_source)
     score = _sharing(F.col("ids"), F.col("weights"), F.col("its_ids")) + F.col("bonus") + far
-    near = described.drop("date").crossJoin(F.broadcast(its)).where(~F.col("its_identity").eqNullSafe(F.col("identity")))
+    near = described.where(F.col("least") < _NEVER).drop("date").crossJoin(F.broadcast(its)).where(~F.col("its_identity").eqNullSafe(F.col("identity")))
     near = near.select("name", "candidate", score.cast("long").alias("score"), "date", F.col("its_identity").alias("identity"))
     full = met.select("name", "candidate", "score", "date", "identity").union(near)
     order = Window.partitionBy("name").orderBy(F.desc("score"), F.desc("date"), "candidate")
@@ -193,19 +217,19 @@ def beside(items: DataFrame) -> DataFrame:
     return both.select("name", "previous", "next", F.array_compact(F.array("_previous", "_next")).alias("around"))
 
 
-def _choices(lists: DataFrame, blocked: DataFrame, front: DataFrame, rule: Recommending) -> DataFrame:
-    """(name, date, picked, refused, tier): what each item takes, how many
-    candidates of its list it was refused, and where its last one came from: 0
-    the list, 1 to 4 the newest items of other sources, of its own, and of both
-    without the rule on what newer items took."""
-    rows = lists.join(blocked.groupBy("name").agg(F.collect_set("by").alias("refusing")), "name", "left").crossJoin(F.broadcast(front))
-    refusing = F.coalesce("refusing", F.array().cast(f"array<{blocked.schema['by'].dataType.simpleString()}>"))
+def _choices(lists: DataFrame, front: DataFrame, rule: Recommending) -> DataFrame:
+    """(name, date, keep, copies, size, refusing, picked, refused, tier): what
+    each item takes, how many candidates of its list it was refused, and where
+    its last one came from: 0 the list, 1 to 4 the newest items of other
+    sources, of its own, and of both without the rule on what newer items took.
+    Only items whose lists do not suffice go through the newest."""
+    rows = lists.withColumn("apart", F.array_append("around", F.col("own_identity"))).crossJoin(F.broadcast(front))
     entry = lambda tier: lambda c: F.struct(c["candidate"].alias("candidate"), c["identity"].alias("identity"), F.lit(tier).alias("tier"))
     same = lambda c: c["source"].eqNullSafe(F.col("source"))
     others, own = F.filter("front", lambda c: ~same(c)), F.filter("front", same)
-    tiers = [F.transform(group, entry(k)) for k, group in enumerate((F.col("ranked"), others, own, others, own))]
-    rows = rows.select("name", "date", "size", F.concat(*tiers).alias("tried"), refusing.alias("refusing"), F.array_append("around", F.col("own_identity")).alias("apart"))
-    kind = rows.schema["tried"].dataType.elementType.simpleString()
+    listed = F.transform("ranked", entry(0))
+    newest = F.concat(*[F.transform(group, entry(k)) for k, group in enumerate((others, own, others, own), 1)])
+    kind = rows.select(listed.alias("listed")).schema["listed"].dataType.elementType.simpleString()
     start = F.struct(F.array().cast(f"array<{kind}>").alias("picked"), F.lit(0).alias("refused"))
 
     def step(state: Column, c: Column) -> Column:
@@ -217,10 +241,17 @@ def _choices(lists: DataFrame, blocked: DataFrame, front: DataFrame, rule: Recom
             (state["refused"] + F.when(fits & refused & (c["tier"] == 0), 1).otherwise(0)).alias("refused"),
         )
 
-    rows = rows.withColumn("end", F.aggregate("tried", start, step))
+    rows = rows.withColumn("end", F.aggregate(listed, start, step))
+    rows = rows.withColumn("end", F.when(F.size("end.picked") < rule.picks, F.aggregate(newest, F.col("end"), step)).otherwise(F.col("end")))
     last = F.coalesce(F.get("end.picked", F.size("end.picked") - 1)["tier"], F.lit(4))
-    short = F.size("end.picked") < rule.picks
-    return rows.select("name", "date", "size", F.transform("end.picked", lambda p: p["candidate"]).alias("picked"), F.col("end.refused").alias("refused"), F.when(short, 4).otherwise(last).alias("tier"))
+    tier = F.when(F.size("end.picked") < rule.picks, 4).otherwise(last)
+    picked = F.transform("end.picked", lambda p: p["candidate"])
+    return rows.select("name", "date", "keep", "copies", "size", "refusing", picked.alias("picked"), F.col("end.refused").alias("refused"), tier.alias("tier"))
+
+
+def _before(one: str, its_date: str, other: str, date: str) -> Column:
+    """Whether one item stands before another, newest first."""
+    return (F.col(its_date) > F.col(date)) | ((F.col(its_date) == F.col(date)) & (F.col(one) < F.col(other)))
 
 
 def recommend(items: DataFrame, rule: Recommending = Recommending()) -> tuple[DataFrame, int]:
@@ -233,36 +264,49 @@ def recommend(items: DataFrame, rule: Recommending = Recommending()) -> tuple[Da
     total = items.count()  # lists of so many hold everything
     sides = written(beside(items), "sides")
     own = items.select("name", "date", "source", F.col("identity").alias("own_identity")).join(sides.select("name", "around"), "name")
-    rounds = 0
+    featured = _featured(items)
+    rounds, asking, lists, newer, made = 0, None, None, None, None
     while True:
-        best = written(ranked(items, rule), "ranked")
+        # Lists of all items, then longer ones of those whose list may have been too short.
+        best = written(_ranked(_reaching(featured, rule, asking), rule), "ranked")
         entries = best.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate", "identity"))).alias("ranked"))
-        lists = own.join(entries, "name", "left")
+        made_now = (own if asking is None else own.join(asking, "name", "left_semi")).join(entries, "name", "left")
         kind = entries.schema["ranked"].dataType.simpleString()
-        lists = lists.withColumn("ranked", F.coalesce("ranked", F.array().cast(kind))).withColumn("size", F.size("ranked"))
-        lists = written(lists, "lists")
+        made_now = made_now.withColumn("ranked", F.coalesce("ranked", F.array().cast(kind)))
+        made_now = made_now.withColumns({"size": F.size("ranked"), "keep": F.lit(rule.keep), "copies": F.lit(rule.copies)})
+        # Only what newer items take can be refused.
+        can = best.join(own.select("name", F.col("date").alias("own_date")), "name").where(_before("candidate", "date", "name", "own_date"))
+        can = can.select("name", F.col("candidate").alias("by"))
+        if asking is None:
+            lists, newer = written(made_now, "lists"), written(can, "newer")
+        else:
+            lists = written(lists.join(asking, "name", "left_anti").unionByName(made_now), "lists")
+            newer = written(newer.join(asking, "name", "left_anti").unionByName(can), "newer")
         newest = items.orderBy(*_newest()).limit(rule.front).select("date", F.col("name").alias("candidate"), "identity", "source")
         newest = written(newest, "front")
         place = F.struct((-F.unix_micros(F.col("date").cast("timestamp"))).alias("age"), "candidate", "identity", "source")
         front = written(newest.agg(F.array_sort(F.collect_list(place)).alias("front")), "front")
-        # Only what newer items take can be refused.
-        newer = best.join(own.select("name", F.col("date").alias("own_date")), "name")
-        newer = newer.where((F.col("date") > F.col("own_date")) | ((F.col("date") == F.col("own_date")) & (F.col("candidate") < F.col("name"))))
-        newer = written(newer.select("name", F.col("candidate").alias("by")), "newer")
-        blocked, told = newer.limit(0), None
+        none = F.array().cast(f"array<{newer.schema['by'].dataType.simpleString()}>")
+        if asking is None:
+            again = lists.select("name", none.alias("refusing"))
+        else:
+            again = made.join(asking, "name", "left_semi").select("name", "refusing")
         while True:
             rounds += 1
-            made = written(_choices(lists, blocked, front, rule), "choices")
+            chosen = _choices(lists.join(again, "name"), front, rule)
+            made = written(chosen if made is None else made.join(again, "name", "left_anti").unionByName(chosen), "choices")
             taken = made.select(F.col("name").alias("by"), F.col("date").alias("by_date"), F.explode("picked").alias("name"))
             of_front = taken.join(F.broadcast(newest.select(F.col("candidate").alias("by"))), "by", "left_semi").join(items.select("name", "date"), "name")
-            of_front = of_front.where((F.col("by_date") > F.col("date")) | ((F.col("by_date") == F.col("date")) & (F.col("by") < F.col("name"))))
-            again = written(newer.join(taken.select("name", "by"), ["name", "by"]).union(of_front.select("name", "by")).distinct(), "blocked")
-            seen, told = told, again.agg(F.count("*"), F.bit_xor(F.xxhash64("name", "by"))).first()
-            if seen == told:
+            of_front = of_front.where(_before("by", "by_date", "name", "date"))
+            blocked = newer.join(taken.select("name", "by"), ["name", "by"]).union(of_front.select("name", "by"))
+            blocked = blocked.groupBy("name").agg(F.array_sort(F.collect_set("by")).alias("now"))
+            again = made.select("name", "refusing").join(blocked, "name", "left").select("name", "refusing", F.coalesce("now", none).alias("now"))
+            again = written(again.where("refusing <> now").select("name", F.col("now").alias("refusing")), "blocked")
+            if again.isEmpty():
                 break
-            blocked = again
-        short = (F.col("tier") >= 1) & (F.col("size") >= rule.keep)
-        unsure = (F.col("refused") >= rule.copies) | short | ((F.col("tier") >= 2) & F.lit(rule.front < total))
-        if made.where(unsure).isEmpty():
+        short = (F.col("tier") >= 1) & (F.col("size") >= F.col("keep"))
+        unsure = (F.col("refused") >= F.col("copies")) | short | ((F.col("tier") >= 2) & F.lit(rule.front < total))
+        asking = written(made.where(unsure).select("name"), "asking")
+        if asking.isEmpty():
             return sides.join(made.select("name", F.col("picked").alias("recommended")), "name").drop("around"), rounds
         rule = replace(rule, keep=4 * rule.keep, copies=4 * rule.copies, front=4 * rule.front)

@@ -117,3 +117,14 @@ def test_common_features_do_not_bring_all_pairs_together(spark):
         got.setdefault(r.name, []).append(r.candidate)
     assert got == want
     assert recommend._met(recommend._described(items, rule), rule).count() < 400 * 400 / 4
+
+
+def test_only_what_may_change_is_done_again(spark, monkeypatch):
+    """Items choose again only if others refuse them or their list was too
+    short, and only such lists are made longer."""
+    rows = archive(7, 60, 4, 1, 3, 3)
+    chosen, found = [], recommend._choices
+    monkeypatch.setattr(recommend, "_choices", lambda lists, *rest: chosen.append(lists.count()) or found(lists, *rest))
+    got, rounds = recommend.recommend(spark.createDataFrame(rows, SCHEMA), SMALL)
+    assert {r.name: (r.previous, r.next, r.recommended) for r in got.collect()} == sequential(rows, SMALL)
+    assert len(chosen) == rounds and chosen[0] == len(rows) and all(0 < n < len(rows) for n in chosen[1:])
