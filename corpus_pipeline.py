@@ -28,12 +28,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scored(rows, model).where(~F.col("_toxic")).select("row.*")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, key): whole rows and a number that tells them apart.
+
+    Rows of files have their place in them for a key and are read there again;
+    others are written first, with numbers."""
+    row = F.struct("*").alias("row")
+    numbered = docs.select(row, F.monotonically_increasing_id().alias("key"))
+    try:
+        placed = docs.select(row, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("key"))
+    except AnalysisException:
+        return staged(numbered, "rows")
+    # What came between the files and here may have made several rows of one.
+    once = placed.groupBy("key").count().where("count > 1").isEmpty()
+    return placed if once else staged(numbered, "rows")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the smallest id, nulls
     last, then by text; repeated rows are duplicates as well.  Texts without
     words are no duplicates."""
     ship_package(spark)
-    keyed = staged(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
+    keyed = _keyed(docs)
     groups = jaccard_join.near_duplicate_groups(keyed.select(F.col("key").alias("doc_id"), F.col("row")["text"].alias("text")))
     alike = groups.where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id")
     doc_id = F.col("row")["doc_id"]
