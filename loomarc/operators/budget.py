@@ -11,7 +11,12 @@ holds it.  So counted,
   admitted, and the one after it goes.
 
 What goes leaves its shared parts to later ones, so the costs of the next round
-are counted again.
+are counted again.  Peeled so, a part that many hold would take a round for
+each.  So before that, once something is admitted,
+
+* a family goes if all its parts that are not paid for yet, at the least that
+  any family names for them, come to more than what is left: if it were
+  admitted, it and those before it would pay for them all out of what is left.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ def admitted(families: DataFrame, name: str, order: list[str], parts: Column, li
     placed = written(placed.select(name, "nth", "_parts"), "families")
     each = placed.select("nth", F.posexplode("_parts").alias("at", "part")).select("nth", "at", "part.path", "part.bytes")
     each = written(each.groupBy("nth", "path").agg(F.max_by("bytes", "at").alias("bytes")), "parts")
+    least = written(each.groupBy("path").agg(F.min("bytes").alias("least")), "least")
     waiting, left, rounds, done = placed.select("nth"), limit, 0, []
     while True:
         rounds += 1
@@ -57,7 +63,10 @@ def admitted(families: DataFrame, name: str, order: list[str], parts: Column, li
             break
         waiting = whole.where(F.col("nth") > over).select("nth")
         paid = each.join(taken, "nth", "left_semi").select("path").distinct()
-        each = written(each.join(waiting, "nth", "left_semi").join(paid, "path", "left_anti"), "parts")
+        left_over = written(each.join(waiting, "nth", "left_semi").join(paid, "path", "left_anti"), "parts")
+        dear = left_over.join(least, "path").groupBy("nth").agg(F.sum("least").alias("cost")).where(F.col("cost") > left)
+        waiting = written(waiting.join(dear, "nth", "left_anti"), "waiting")
+        each = written(left_over.join(waiting, "nth", "left_semi"), "parts")
     found = placed.select(name, "nth")
     taken = done[0] if done else waiting.limit(0).withColumn("cost", F.lit(0).cast("long"))
     for more in done[1:]:

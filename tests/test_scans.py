@@ -124,3 +124,18 @@ def test_sitemap_entries_are_not_stored_while_files_are_cut(spark):
     for n in (1, 2, 3):
         inside = sum(len(r.entry) for r in rows if r.file == n)
         assert {r.bytes for r in rows if r.file == n} == {inside + len(sinks.SITEMAP_HEAD + sinks.SITEMAP_TAIL)}
+
+
+def test_parts_that_many_families_hold(many_ranges):
+    """Once little is left, families that hold much go at once, however many
+    share their parts; a part counts as what its cheapest family names."""
+    families = [("first", 0, [("a", 90)])] + [(f"f{k:02}", k, [("b", 6), (f"c{k % 2}", 6)]) for k in range(1, 41)]
+    families += [("cheap", 50, [("b", 2), ("c0", 7)]), ("paid", 51, [("a", 90)]), ("late", 52, [("b", 2)]), ("none", 53, None), ("small", 54, [("d", 1)])]
+    frame = many_ranges.createDataFrame(families, "name string, at long, parts array<struct<path:string,bytes:long>>")
+    few = [f for f in families if not 2 < f[1] < 41]
+    found, _ = budget.admitted(frame.where("not at between 3 and 40"), "name", ["at"], F.col("parts"), 100)
+    want = one_by_one(few, 100)
+    assert {r.name: (r.admitted, r.cost) for r in found.collect()} == want and want["cheap"] == (True, 9)
+    found, rounds = budget.admitted(frame.where("name not in ('cheap', 'late')"), "name", ["at"], F.col("parts"), 100)
+    assert {r.name: r.cost for r in found.where("admitted").collect()} == {"first": 90, "paid": 0, "none": 0, "small": 1}
+    assert rounds <= 4
