@@ -72,6 +72,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_mixed_order(docs)
 
 
+#: Bytes of a generation of pieces; executors hold other stages' memory too.
+KEPT_PIECES = 16_000_000
+
+
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the order of the rows read; per document doc_id, start,
     n_tokens and ids_crc32 as read back from them.
@@ -85,7 +89,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     except AnalysisException:
         ordered, order = docs, "doc_id"
     out = scratch_path(spark, "token-files")
-    token_files.write_token_files(ordered, out, _tokenizer(), order=order)
+    token_files.write_token_files(ordered, out, _tokenizer(), order=order, kept=KEPT_PIECES)
     return token_files.document_digests(spark, out)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bytetext
+from . import bytetext, worker
 from .common import batch_rows, staged, without
 
 
@@ -157,12 +157,12 @@ def contamination(docs: DataFrame, items: DataFrame, rule: Decontamination = Dec
         known = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64))
         held = spark.sparkContext.broadcast(known)
         with batch_rows(spark, 1024):
-            found = staged(texts.mapInArrow(_occurrences(lengths, held), _OCCURRENCES), "occurrences")
+            found = staged(texts.mapInArrow(worker.releasing(_occurrences(lengths, held)), _OCCURRENCES), "occurrences")
         places = _exploded(found)
     else:
-        every = _exploded(texts.mapInArrow(_occurrences(lengths, None), _OCCURRENCES))
+        every = _exploded(texts.mapInArrow(worker.releasing(_occurrences(lengths, None)), _OCCURRENCES))
         places = staged(every.join(distinct, "sig", "left_semi").select("key", "n_words", "place", "sig"), "occurrences")
-        found = texts.mapInArrow(_occurrences([], None), _OCCURRENCES)
+        found = texts.mapInArrow(worker.releasing(_occurrences([], None)), _OCCURRENCES)
 
     # The order: frequency over all documents; a window with a shingle that
     # stands nowhere cannot occur.

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bytetext
+from . import bytetext, worker
 from .common import batch_rows, broadcast_if_small, staged, uncoalesced
 from .components import components
 
@@ -198,7 +198,7 @@ def _levels(join: JaccardJoin, survey: DataFrame) -> np.ndarray:
     blocks = (
         survey.where("part = 1")
         .repartition(max(1, join.cells // _CELL_BLOCK // 16), "doc_id")
-        .mapInArrow(_block_levels(join, tokens // join.cells), "block long, levels binary")
+        .mapInArrow(worker.releasing(_block_levels(join, tokens // join.cells)), "block long, levels binary")
     )
     level = np.zeros(join.cells, np.uint8)
     for block, piece in blocks.toLocalIterator():
@@ -343,7 +343,7 @@ def _wanted_sets(join: JaccardJoin, docs: DataFrame, ids: DataFrame, form=np.nda
                     ["set_id", "tokens"],
                 )
 
-    return docs.select("text").mapInArrow(run, "set_id long, tokens binary")
+    return docs.select("text").mapInArrow(worker.releasing(run), "set_id long, tokens binary")
 
 
 def _bounded(join: JaccardJoin, pairs: DataFrame, maps: DataFrame) -> DataFrame:
@@ -368,7 +368,7 @@ def _bounded(join: JaccardJoin, pairs: DataFrame, maps: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(maps.toDF("a", "left", "na"), "a").join(maps.toDF("b", "right", "nb"), "b")
-    return both.select("a", "b", "left", "right", "na", "nb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "left", "right", "na", "nb").mapInArrow(worker.releasing(run), "a long, b long")
 
 
 #: Members that are verified against one copy of their hub.
@@ -410,7 +410,7 @@ def _verified(join: JaccardJoin, pairs: DataFrame, sets: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     together = members.union(heads).repartition("a", "at").sortWithinPartitions("a", "at", F.col("b").asc_nulls_first())
-    return together.select("a", "b", "tokens").mapInArrow(run, "a long, b long").distinct()
+    return together.select("a", "b", "tokens").mapInArrow(worker.releasing(run), "a long, b long").distinct()
 
 
 def _possible(join: JaccardJoin, x, y):
@@ -433,7 +433,7 @@ def _buckets(join: JaccardJoin, docs: DataFrame, levels) -> DataFrame:
     other = F.coalesce(F.lag("here").over(in_bucket), F.lead("here").over(in_bucket))
     rows = (
         docs.select("text")
-        .mapInArrow(_signatures(join, levels), "sig long, set_id long, size int, place int, singles int")
+        .mapInArrow(worker.releasing(_signatures(join, levels)), "sig long, set_id long, size int, place int, singles int")
         .withColumn("twin", F.lag("set_id").over(in_bucket))
         .where("twin is null or twin <> set_id")
         .withColumn("after", F.lead("set_id").over(in_bucket))
@@ -476,7 +476,7 @@ def similar_sets(docs: DataFrame, join: JaccardJoin = JaccardJoin()) -> tuple[Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with batch_rows(spark, 1024):
         survey = staged(
-            docs.mapInArrow(_survey(join), "part int, doc_id long, n_shingles long, set_id long, counts binary"), "survey"
+            docs.mapInArrow(worker.releasing(_survey(join)), "part int, doc_id long, n_shingles long, set_id long, counts binary"), "survey"
         )
     levels = spark.sparkContext.broadcast(_levels(join, survey))
     by_share = Window.partitionBy("sig").orderBy(F.desc(F.col("most") / F.col("size")), "set_id")

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import worker
+from .bytetext import text_buffers
 from .common import batch_rows, broadcast_if_small, staged
 
 #: Ids after which a block is closed.
@@ -94,21 +96,31 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 class _Kept(dict):
     """Ids of pieces; one that is asked for and missing is noted, and gets its
     ids when it has been learned.  What a generation before this one knew is
-    taken over when it is asked for."""
+    taken over when it is asked for.  ``held`` is what pieces and ids take in
+    bytes, with ``EACH`` for a place in the table."""
 
-    def __init__(self):
+    EACH = 48
+
+    def __init__(self, before: dict[str, bytes]):
         self.new: list[str] = []
         self.open: list[bytearray] = []
-        self.before: dict[str, bytes] = {}
+        self.before = before
+        self.held = 0
+
+    def next(self) -> _Kept:
+        """The generation after this one, which lets go what was before it."""
+        self.before = {}
+        return _Kept(self)
 
-    def turn(self) -> None:
-        self.before = dict(self)
-        self.clear()
+    def hold(self, pieces: list[str], ids: list[bytes]) -> None:
+        self.update(zip(pieces, ids, strict=True))
+        self.held += self.EACH * len(pieces) + sum(map(getsizeof, pieces)) + sum(map(getsizeof, ids))
 
     def __missing__(self, piece: str) -> bytes | bytearray:
         ids = self.before.get(piece)
         if ids is not None:
             self[piece] = ids
+            self.held += self.EACH + getsizeof(piece) + getsizeof(ids)
             return ids
         ids = self[piece] = bytearray()
         self.new.append(piece)
@@ -123,17 +135,19 @@ class Encoder:
     of them goes on from other characters into white space.  So a text may be
     cut before every run of white space; each distinct piece is encoded by the
     library once and its ids are kept.  Texts are cut at the special strings
-    first, as the library does.  What is kept is bounded: when a generation is
-    full a new one begins, which takes over what it meets again.
+    first, as the library does.  What is kept is bounded in bytes, as pieces
+    may be of any length: when a generation is full a new one begins, which
+    takes over what it meets again.
     """
 
-    KEPT = 400_000
+    #: Bytes of pieces and ids after which a generation is full; two are kept.
+    KEPT = 60_000_000
     #: Marks that often end a word.
     MARKS = ".,;:!?"
     #: White space of Unicode (fixed values).
     WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         import json
         import re
 
@@ -161,7 +175,7 @@ class Encoder:
         #: White space other than single spaces and line ends.
         self.odd = [a + b for a in " \n" for b in " \n"] + [c for c in re.findall(rf"[{self.WHITE}]", "".join(map(chr, range(0x3001)))) if c not in " \n"] + ["\0", "\1"]
         self.cut = re.compile(rf"[{self.WHITE}]*[^{self.WHITE}]+|[{self.WHITE}]+").findall
-        self.kept = _Kept()
+        self.kept, self.full = _Kept({}), self.KEPT if kept is None else kept
 
     @property
     def vocabulary(self) -> int:
@@ -171,9 +185,9 @@ class Encoder:
         if not self.by_piece:
             made = self.library.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(e.ids, np.uint32) for e in made]
+        if self.kept.held > self.full:
+            self.kept = self.kept.next()
         kept = self.kept
-        if len(kept) > self.KEPT:
-            kept.turn()
         found = [list(map(kept.__getitem__, self._pieces(t))) for t in texts]
         if kept.new:
             new, waiting = kept.new, kept.open
@@ -208,7 +222,7 @@ class Encoder:
         kept, plain, lines, ended = self.kept, [p for p in new if p.isalnum()], {}, []
         for p in [p for p in new if not p.isalnum()]:
             if p[:1] == "\0":
-                kept[p] = np.uint32(self.special[p[1:]]).tobytes()
+                kept.hold([p], [np.uint32(self.special[p[1:]]).tobytes()])
             elif p[:1] == "\1" or p in ("", "\n"):
                 self._as_it_is(p, p[1:] if p[:1] == "\1" else p or " ")
             else:
@@ -234,36 +248,49 @@ class Encoder:
                 raw = ids.tobytes()
                 begins = (4 * (cuts + len(lead) // 2)).tolist()
                 ends = [*(4 * cuts[1:]).tolist(), len(raw)]
-                kept.update(zip(some, map(raw.__getitem__, map(slice, begins, ends)), strict=True))
+                kept.hold(some, list(map(raw.__getitem__, map(slice, begins, ends))))
         for p, stem in ended:
             marks = p[len(stem) :]
-            self.kept[p] = bytes(self.kept[stem]) + (self.kept.get(f"\1{marks}") or self._as_it_is(f"\1{marks}", marks))
+            kept.hold([p], [bytes(kept[stem]) + (kept.get(f"\1{marks}") or self._as_it_is(f"\1{marks}", marks))])
 
     def _as_it_is(self, piece: str, text: str) -> bytes:
-        self.kept[piece] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        self.kept.hold([piece], [np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()])
         return self.kept[piece]
 
 
-#: Texts encoded together.
-TEXTS = 256
+#: Texts encoded together, and their bytes; a longer text is encoded alone.
+TEXTS, TEXT_BYTES = 256, 1 << 20
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int | None = None) -> Encoder:
     """One encoder for each file and worker; it runs on the task's own core."""
     encoders = worker.kept("token_files")
-    if path not in encoders:
+    if (path, kept) not in encoders:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encoders[path] = Encoder(path)
-    return encoders[path]
+        encoders.clear()
+        encoders[path, kept] = Encoder(path, kept)
+    return encoders[path, kept]
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, as many at a time as are encoded together."""
+    ends = text_buffers(batch.column("text"))[1][1:]
+    at, done = 0, 0
+    while at < len(ends):
+        to = min(max(int(np.searchsorted(ends, done + TEXT_BYTES, "right")), at + 1), at + TEXTS)
+        part = batch.slice(at, to - at)
+        at += part.num_rows
+        done = int(ends[at - 1])
+        yield part
 
 
-def _blocks(path: str, end_id: int | None, block_ids: int):
+def _blocks(path: str, end_id: int | None, block_ids: int, kept: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(path)
+        enc = encoder(path, kept)
         bits = bits_for(max(enc.vocabulary, (end_id or 0) + 1))
         shard = TaskContext.get().partitionId()
         block, first, held = 0, 0, 0
@@ -286,8 +313,7 @@ def _blocks(path: str, end_id: int | None, block_ids: int):
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for part in _parts(batch):
                 made = enc.encode([t or "" for t in part.column("text").to_pylist()])
                 for doc, ids in zip(part.column("doc_id").to_pylist(), made, strict=True):
                     if end_id is not None:
@@ -314,6 +340,7 @@ def write_token_files(
     end_id: int | None = 0,
     shards: int | None = None,
     block_ids: int = BLOCK_IDS,
+    kept: int | None = None,
 ) -> None:
     """Encode (doc_id, text) rows in ascending ``order`` and write token files.
 
@@ -321,6 +348,8 @@ def write_token_files(
     made after it, so only texts move.  Null and empty texts hold the end id
     alone; repeated rows are each written; rows with a null doc_id are written
     first; other columns are dropped; no rows give a folder without blocks.
+    ``kept`` bounds in bytes each of the two generations of pieces that a
+    worker keeps: less takes more time and gives the same ids.
     """
     wanted = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(order).alias("_order")
@@ -328,7 +357,7 @@ def write_token_files(
     dealt = wanted.repartitionByRange(shards, "_order") if shards else wanted.repartitionByRange("_order")
     ordered = dealt.sortWithinPartitions("_order", "text").select("doc_id", "text")
     with batch_rows(docs.sparkSession, 1024):
-        ordered.mapInArrow(_blocks(tokenizer, end_id, block_ids), BLOCKS).write.parquet(out)
+        ordered.mapInArrow(worker.releasing(_blocks(tokenizer, end_id, block_ids, kept)), BLOCKS).write.parquet(out)
 
 
 def read_blocks(spark, path: str) -> DataFrame:
@@ -344,6 +373,7 @@ def read_documents(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids of the documents in the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.kept("token_reading")
         for batch in batches:
             for row in range(batch.num_rows):
                 start, bits, docs, offsets, payload = (batch.column(c)[row].as_py() for c in ("start", "bits", "doc_ids", "offsets", "payload"))
@@ -359,13 +389,14 @@ def read_documents(spark, path: str) -> DataFrame:
                 )
 
     blocks = read_blocks(spark, path).select("start", "bits", "doc_ids", "offsets", "payload")
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
+    return blocks.mapInArrow(worker.releasing(run), "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 def document_digests(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the documents in the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.kept("token_reading")
         for batch in batches:
             for row in range(batch.num_rows):
                 start, bits, docs, offsets, payload = (batch.column(c)[row].as_py() for c in ("start", "bits", "doc_ids", "offsets", "payload"))
@@ -381,4 +412,4 @@ def document_digests(spark, path: str) -> DataFrame:
                 )
 
     blocks = read_blocks(spark, path).select("start", "bits", "doc_ids", "offsets", "payload")
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.mapInArrow(worker.releasing(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
